@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tabsynth.llm.common import table
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tabsynth.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabsynth.llm.quality import quality_verdicts
 
@@ -15,6 +23,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(docs, trusted).drop("text")
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tabsynth.llm.bpe import encode_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabsynth.llm.sharding import shard_documents
 
@@ -22,7 +39,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op8_quality_rules, op9_byte_bpe, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
