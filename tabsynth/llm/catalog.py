@@ -15,6 +15,20 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tabsynth.llm.unigram import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabsynth.llm.mixing import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabsynth.llm.quality import quality_verdicts
 
@@ -39,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_best_fit_packing, op8_quality_rules, op9_byte_bpe, op10_sharding)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_token_counts, op5_lm_scores, op8_quality_rules, op9_byte_bpe, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
