@@ -7,6 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from tabsynth.llm.common import table
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabsynth.llm.warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"))[0]
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabsynth.llm.linededup import drop_repeated_units
+
+    return drop_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,7 +65,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_token_counts, op5_lm_scores, op8_quality_rules, op9_byte_bpe, op10_sharding)}
+    return {f.__name__: f for f in (op1_warc_index, op2_line_dedup, op3_best_fit_packing, op4_token_counts, op5_lm_scores, op8_quality_rules, op9_byte_bpe, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
