@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabsynth.llm.common import table
+from tabsynth.llm.common import WORD, table, written
+from tabsynth.llm.jaccard import keep_one_of_each
+from tabsynth.llm.linededup import drop_repeated_units
+from tabsynth.llm.packing import pack_documents
 from tabsynth.llm.quality import quality_verdicts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -16,15 +21,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_verdicts(docs, trusted).where("kept").select(*COLUMNS)
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group that links of Jaccard similarity 0.8 or more make."""
+    return keep_one_of_each(docs).select(*COLUMNS)
 
-#: The tokenizer's merges and the iterative grouping have no SQL form; tests hold the stages against brute force.
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes lines that an earlier ranked document, or the document itself, has before. Texts left without a word go."""
+    cleaned = drop_repeated_units(docs).where(F.col("text").rlike(WORD))
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents that are left into sequences of 4096 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("packing", packing)]
+
+#: The tokenizer's merges and the growing of groups have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tabsynth.llm.common import written
-
+    """STAGES in order over documents, each stage's result written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -41,6 +41,12 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabsynth.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabsynth.llm.neardup_vectors import near_duplicates
 
@@ -71,7 +77,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_index, op2_line_dedup, op3_best_fit_packing, op4_token_counts, op5_lm_scores, op7_vector_near_dedup, op8_quality_rules, op9_byte_bpe, op10_sharding)}
+    return {f.__name__: f for f in (op1_warc_index, op2_line_dedup, op3_best_fit_packing, op4_token_counts, op5_lm_scores, op6_jaccard_join, op7_vector_near_dedup, op8_quality_rules, op9_byte_bpe, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
