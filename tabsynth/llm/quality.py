@@ -19,6 +19,8 @@ from tabsynth.llm.common import LOWER, UPPER
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
 WINDOW = 8
+#: Trusted documents that are counted at most.
+MAX_TRUSTED = 50_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
 
@@ -73,13 +75,15 @@ def _hashed(text: Column) -> Column:
     return F.transform(words(F.translate(text, UPPER, LOWER)), lambda w: F.xxhash64(w))
 
 
-def fit_ratio(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = 1 << 14, prior: float = 1.0) -> list[float]:
+def fit_ratio(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = 1 << 14, prior: float = 1.0, max_trusted: int = MAX_TRUSTED) -> list[float]:
     """log(trusted / corpus) for each bucket. trusted: the keys of trusted documents.
 
-    All documents are counted. Only one sum for each bucket reaches the driver, whatever the corpus's size.
+    The corpus's side counts all documents. The trusted side takes max_trusted documents at most, those whose keys
+    have the smallest hashes, so their keys can be broadcast and no text is shuffled. Only one sum for each bucket
+    reaches the driver, whatever the corpus's size.
     """
-    keys = trusted.select(F.col(key).alias("_k")).where("_k is not null").distinct().withColumn("_t", F.lit(1))
-    marked = docs.select(F.col(key).alias("_k"), F.col(text).alias("_x")).join(keys, "_k", "left")
+    keys = trusted.select(F.col(key).alias("_k")).where("_k is not null").distinct().orderBy(F.xxhash64("_k"), "_k").limit(max_trusted).withColumn("_t", F.lit(1))
+    marked = docs.select(F.col(key).alias("_k"), F.col(text).alias("_x")).join(F.broadcast(keys), "_k", "left")
     grams = marked.select(F.explode(ngram_buckets(_hashed(F.col("_x")), buckets)).alias("b"), F.coalesce("_t", F.lit(0)).alias("t"))
     rows = grams.groupBy("b").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n")).collect()
     t, n = [0] * buckets, [0] * buckets
