@@ -22,3 +22,15 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of its own only where the session names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        import tempfile
+
+        found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
