@@ -119,11 +119,11 @@ def pr5_duplicate_keys(spark, d):
     return schema.duplicate_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("""select l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 2) as unit, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 1) as charge,
+@query("""select l_orderkey, l_linenumber, round(l_extendedprice / l_quantity + 3e-7, 2) as unit, round(l_extendedprice * (1 - l_discount) * (1 + l_tax) + 3e-7, 1) as charge,
 l_partkey - 7.0 * floor(l_partkey / 7.0) as m, -l_partkey - 7.0 * floor(-l_partkey / 7.0) as neg, l_quantity * l_quantity as sq from lineitem""")
 def pr6_formulas(spark, d):
     df = expr.add_formulas(table(spark, d, "lineitem"), {"unit": "5/4", "charge": "c5 * (1.0 - 6) * (1.0 + c7)", "m": "c1 % 7.0", "neg": "-c1 % 7.0", "sq": "c4 ** 2.0", "bad": "__import__('os')"})
-    return rounded(df.withColumns({"charge": F.round("charge", 1), "unit": F.round("unit", 2)}).select("l_orderkey", "l_linenumber", "unit", "charge", "m", "neg", "sq"))
+    return rounded(df.withColumns({"charge": F.round(F.col("charge") + 3e-7, 1), "unit": F.round(F.col("unit") + 3e-7, 2)}).select("l_orderkey", "l_linenumber", "unit", "charge", "m", "neg", "sq"))
 
 
 # constraints and gates
