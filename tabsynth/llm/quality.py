@@ -13,11 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsynth.llm.common import LOWER, UPPER
+from tabsynth.llm.common import WORD
 
-#: The symbols that count, and white space.
-SYMBOLS = "#*$%&|<>"
-SPACE = " \t\n\x0b\x0c\r"
+#: Fixed value: the symbols that count.
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 #: Trusted documents that are counted at most.
 MAX_TRUSTED = 50_000
@@ -56,7 +55,7 @@ def repeated_window_words(hashes: Column, n: int = WINDOW) -> Column:
 
 def repeated_lines(text: Column) -> Column:
     """How many lines with a word equal an earlier line."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.translate(x, SPACE, "") != "")
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(WORD))
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
@@ -71,8 +70,8 @@ def ngram_buckets(hashes: Column, buckets: int) -> Column:
     return let(hashes, grams)
 
 
-def _hashed(text: Column) -> Column:
-    return F.transform(words(F.translate(text, UPPER, LOWER)), lambda w: F.xxhash64(w))
+def _hashed(found: Column) -> Column:
+    return F.transform(found, lambda w: F.xxhash64(F.lower(w)))
 
 
 def fit_ratio(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = 1 << 14, prior: float = 1.0, max_trusted: int = MAX_TRUSTED) -> list[float]:
@@ -84,7 +83,7 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: st
     """
     keys = trusted.select(F.col(key).alias("_k")).where("_k is not null").distinct().orderBy(F.xxhash64("_k"), "_k").limit(max_trusted).withColumn("_t", F.lit(1))
     marked = docs.select(F.col(key).alias("_k"), F.col(text).alias("_x")).join(F.broadcast(keys), "_k", "left")
-    grams = marked.select(F.explode(ngram_buckets(_hashed(F.col("_x")), buckets)).alias("b"), F.coalesce("_t", F.lit(0)).alias("t"))
+    grams = marked.select(F.explode(ngram_buckets(_hashed(words(F.col("_x"))), buckets)).alias("b"), F.coalesce("_t", F.lit(0)).alias("t"))
     rows = grams.groupBy("b").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n")).collect()
     t, n = [0] * buckets, [0] * buckets
     for r in rows:
@@ -96,25 +95,23 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: st
     return [math.log((x + weight * p) / ((all_t + weight) * p)) for x, p in zip(t, share, strict=True)]
 
 
-def ratio_score(text: Column, ratio: list[float]) -> Column:
-    """Mean log ratio of a text's n-grams; 0 without any."""
+def ratio_score(found: Column, ratio: list[float]) -> Column:
+    """Mean log ratio of the n-grams of a text's words; 0 without any."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratio)), ",").cast("array<double>")  # folded to one literal
-    grams = ngram_buckets(_hashed(text), len(ratio))
+    grams = ngram_buckets(_hashed(found), len(ratio))
     score = lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.size(g))
     return let(grams, score)
 
 
-def base_rules(text: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text; null counts as empty."""
+def base_rules(text: Column, found: Column) -> dict[str, Column]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text and its words; null counts as empty."""
     body = F.coalesce(text, F.lit(""))
-    hashes = F.transform(words(body), lambda w: F.xxhash64(w))
-    bare = F.translate(body, SPACE, "")
     return {
-        "n_words": F.size(words(body)).cast("long"),
-        "word_chars": F.length(bare).cast("long"),
-        "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
+        "n_words": F.size(found).cast("long"),
+        "word_chars": F.length(F.array_join(found, "")).cast("long"),
+        "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": repeated_lines(body),
-        "n_repeat_words": repeated_window_words(hashes),
+        "n_repeat_words": repeated_window_words(F.transform(found, lambda w: F.xxhash64(w))),
     }
 
 
@@ -126,6 +123,7 @@ def quality_verdicts(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", t
     documents every score is 0. Columns of these names in docs are replaced; trusted may have any others.
     """
     ratio = fit_ratio(docs, trusted, key, text, buckets)
-    out = docs.withColumns(base_rules(F.col(text)) | {"score": ratio_score(F.col(text), ratio)})
+    cut = docs.withColumn("_words", words(F.col(text)))  # a step of its own, so that texts are split once
+    out = cut.withColumns(base_rules(F.col(text), F.col("_words")) | {"score": ratio_score(F.col("_words"), ratio)}).drop("_words")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
