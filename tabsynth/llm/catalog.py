@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tabsynth.llm import oracles
 from tabsynth.llm.common import table
 
 
 def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabsynth.llm.warc import archive_pages
 
-    return archive_pages(table(spark, sf_dir, "pages"))[0]
+    index = archive_pages(table(spark, sf_dir, "pages"))[0]
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabsynth.llm.linededup import drop_repeated_units
 
-    return drop_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = drop_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), " ")
+    return cleaned.select("doc_id", "text", "n_removed", spans.alias("removed"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +43,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabsynth.llm.mixing import score_documents
 
-    return score_documents(table(spark, sf_dir, "documents"))
+    return score_documents(table(spark, sf_dir, "documents"), group="lang")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +86,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_index": oracles.OP1, "op2_line_dedup": oracles.OP2, "op6_jaccard_join": oracles.OP6, "op7_vector_near_dedup": oracles.OP7}
