@@ -8,7 +8,8 @@ threshold, and a pair only if its places leave room for enough common shingles.
 Short lists give all their pairs. In a long list, which a large group of similar sets makes, each set is compared with a
 few hubs. What the other pairs would answer follows from those answers where it can: sets that hang together
 already need no pair, and by the triangle inequality of the Jaccard distance two sets whose distances to
-a hub differ by more than the bound can't link. Only the rest is compared.
+a hub differ by more than the bound can't link. Of the rest, a pair is compared only if the two sets' counts in a few
+hundred hash cells allow as many common shingles as a link needs.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ WORDS = 5
 CELLS = 1 << 22  # of the sketch of shingle counts
 SHORT = 48  # lists of at most this many classes give all their pairs
 HUBS = 3
+TALLY = 256  # hash cells that a set's shingles are counted in
 BUCKET_POSTINGS = 300_000
 GROUP_SHINGLES = 2_000_000
 
@@ -143,8 +145,42 @@ def rarity(cells: np.ndarray) -> np.ndarray:
     return np.where(cells > floor, 1 + np.clip(2 * np.log2(np.maximum(cells, 1) / floor), 0, 60), 0).astype(np.uint8)
 
 
+def tallies(s: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Counts of each set's shingles by hash cell, a byte each; empty if one doesn't fit."""
+    doc = np.repeat(np.arange(len(n)), n)
+    counts = np.bincount(doc * TALLY + (s >> np.uint64(48)).astype(np.int64) % TALLY, minlength=len(n) * TALLY).reshape(-1, TALLY)
+    return [b"" if c.max(initial=0) > 255 else c.astype(np.uint8).tobytes() for c in counts]
+
+
+def may_link(n1: np.ndarray, t1: np.ndarray, n2: np.ndarray, t2: np.ndarray, percent: int) -> np.ndarray:
+    """Whether tallies leave room for a link: no two sets share more than the sum of the lesser counts."""
+    return np.minimum(t1, t2).sum(-1, dtype=np.int64) >= -(-percent * (n1 + n2) // (100 + percent))
+
+
+def tally_matrix(raw: list[bytes]) -> np.ndarray:
+    """Rows of counts; one without counts gets the most there can be, so that it rules nothing out."""
+    return np.frombuffer(b"".join(x if x else b"\xff" * TALLY for x in raw), np.uint8).reshape(-1, TALLY)
+
+
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b whose tallies leave room for a link."""
+    one, two = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("tally").alias(f"t{c}")) for c in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                a, b, n1, n2 = (part.column(i).to_numpy() for i in range(4))
+                t1, t2 = part.column(4).to_pylist(), part.column(5).to_pylist()
+                whole = np.array([not x or not y for x, y in zip(t1, t2, strict=True)])
+                keep = whole | may_link(n1, tally_matrix(t1), n2, tally_matrix(t2), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
 def set_prefixes(docs: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
-    """k, doc_id, n, d1, d2 (digest of the set) and prefix (hashes in order). docs: k, text, doc_id."""
+    """k, doc_id, n, d1, d2 (digest of the set), tally and prefix (hashes in order). docs: k, text, doc_id."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(classes)
 
@@ -159,14 +195,15 @@ def set_prefixes(docs: DataFrame, classes: np.ndarray, words: int, percent: int)
                 if len(s):
                     d1[some] = np.add.reduceat(mixed(s, 11), (ends - n)[some])
                     d2[some] = np.add.reduceat(mixed(s, 12), (ends - n)[some])
+                tally = tallies(s, n)
                 doc = np.repeat(np.arange(len(n)), n)
                 c = classes[(s & np.uint64(CELLS - 1)).astype(np.int64)]
                 s = s[np.argsort(doc * 64 + c, kind="stable")]
                 keep = n - need(n, percent) + 1
                 prefix = [s[e - k : e - k + p].tobytes() if k else b"" for e, k, p in zip(ends.tolist(), n.tolist(), keep.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(prefix, pa.binary())], ["k", "doc_id", "n", "d1", "d2", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(tally, pa.binary()), pa.array(prefix, pa.binary())], ["k", "doc_id", "n", "d1", "d2", "tally", "prefix"])
 
-    return docs.select("k", "text", "doc_id").mapInArrow(run, f"k long, doc_id {kind}, n long, d1 long, d2 long, prefix binary")
+    return docs.select("k", "text", "doc_id").mapInArrow(run, f"k long, doc_id {kind}, n long, d1 long, d2 long, tally binary, prefix binary")
 
 
 def bucketed(sets: DataFrame, buckets: int) -> DataFrame:
@@ -289,7 +326,7 @@ def compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, p
     return rows.groupBy("g").applyInArrow(run, "a long, b long, common long, total long, linked boolean")
 
 
-def open_pairs(lists: DataFrame, answers: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def open_pairs(lists: DataFrame, answers: DataFrame, parts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of long lists that the answers known so far don't settle. lists: list, a, n.
 
     A set that hangs together with most of its list is settled against all of those. For the others, each hub's
@@ -301,12 +338,14 @@ def open_pairs(lists: DataFrame, answers: DataFrame, parts: DataFrame, percent:
     mixed_lists = entry.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("list")
     entry = written(entry.join(mixed_lists, "list"), "entries")
     near = both.withColumn("d", 1 - F.col("common") / F.col("total")).join(entry.select("a").distinct(), "a").groupBy("a").agg(F.min_by(F.struct("hub", "d"), F.xxhash64("hub")).alias("h"))
-    entry = entry.join(near, "a", "left").select("list", "a", "n", "component", F.col("h.hub").alias("hub"), F.col("h.d").alias("d"))
+    entry = entry.join(near, "a", "left").join(classes.select(F.col("cid").alias("a"), "tally"), "a").select("list", "a", "n", "component", F.col("h.hub").alias("hub"), F.col("h.d").alias("d"), "tally")
     bound = 1 - percent / 100 + 1e-9
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n", "a"], kind="stable")
         a, n, part = (rows[c].to_numpy() for c in ("a", "n", "component"))
+        tally = tally_matrix(list(rows["tally"]))
+        whole = np.array([not x for x in rows["tally"]])
         hub, d = rows["hub"].fillna(-1).to_numpy(np.int64), rows["d"].fillna(0).to_numpy()
         kinds, count = np.unique(part, return_counts=True)
         most = kinds[count.argmax()]
@@ -316,6 +355,7 @@ def open_pairs(lists: DataFrame, answers: DataFrame, parts: DataFrame, percent:
             j = np.arange(lo, hi)
             j = j[(part[j] != part[i]) & ((part[j] == most) | (a[j] > a[i]))]
             j = j[(hub[j] != hub[i]) | (hub[i] < 0) | (np.abs(d[j] - d[i]) <= bound)]
+            j = j[whole[i] | whole[j] | may_link(n[i], tally[i], n[j], tally[j], percent)]
             out.append(np.stack([np.full(len(j), a[i]), a[j]], 1))
         pairs = np.sort(np.concatenate(out), 1) if out else np.zeros((0, 2), np.int64)
         pairs = np.unique(pairs, axis=0)
@@ -334,19 +374,19 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     keyed = docs.select(F.xxhash64(key, text).alias("k"), F.col(text).alias("text"), F.col(key).alias("doc_id"))
     order = rarity(count_sketch(keyed.select("k", "text"), words))
     sets = written(set_prefixes(keyed, order, words, percent), "sets")
-    reps = sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("k").alias("k"))
-    classes = written(reps.select("d1", "d2", "n", "k", F.monotonically_increasing_id().alias("cid")), "classes")
+    reps = sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("k", "tally")).alias("r"))
+    classes = written(reps.select("d1", "d2", "n", F.col("r.k").alias("k"), F.col("r.tally").alias("tally"), F.monotonically_increasing_id().alias("cid")), "classes")
     rows = sets.select("k", "doc_id", "n", "d1", "d2").join(classes.select("d1", "d2", "n", "cid"), ["d1", "d2", "n"], "left").select("k", "doc_id", "n", "cid")
     own = sets.select("k", "prefix").join(classes.select("k", "cid", "n"), "k").dropDuplicates(["cid"])
     postings = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     buckets = max(shuffle_partitions(spark), math.ceil(postings / BUCKET_POSTINGS))
     found = written(bucketed(own, buckets).groupBy("bucket").applyInPandas(lambda k, r: list_pairs(k, r, percent), "list long, a long, b long, n long"), "lists")
-    pairs = written(found.where("b >= 0").select("a", "b").distinct(), "pairs")
+    pairs = written(possible(found.where("b >= 0").select("a", "b").distinct(), classes, percent), "pairs")
     answers = written(compare(pairs, classes, keyed, words, percent), "answers")
     links = answers.where("linked").select("a", "b")
     parts = written(connected_components(links), "parts")
     lists = found.where("b < 0").groupBy("list", "a").agg(F.first("n").alias("n"))
-    more = written(open_pairs(lists, answers, parts, percent), "pairs")
+    more = written(open_pairs(lists, answers, parts, classes, percent), "pairs")
     if not more.isEmpty():
         again = written(compare(more, classes, keyed, words, percent), "answers")
         parts = written(connected_components(links.union(again.where("linked").select("a", "b"))), "parts")
