@@ -7,11 +7,7 @@ def brute(rows, sep="\n", least=4):
     for d, x in rows:
         docs.setdefault((d is None, d or 0, d, x), None)
     seen, out = {}, {}
-    for k in docs:
-        out[k] = []
-    import pyspark.sql  # noqa: F401
-
-    for last, n, d, x in sorted(docs, key=lambda k: (k[0], k[1])):
+    for _, _, d, x in sorted(docs, key=lambda k: (k[0], k[1])):
         kept = []
         for part in (x or "").split(sep):
             words = tuple(part.lower().split())
