@@ -269,7 +269,7 @@ def list_pairs(key: tuple, rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     entries = {}
     for k in long:
         mine = slice(int(begin[k]), int(begin[k] + size[k]))
-        c, m, p = cid[mine], n[mine], place[mine]
+        c, m = cid[mine], n[mine]
         i = 0
         while i < len(c):  # blocks of sizes that can all link
             j = int(np.searchsorted(m, m[i] * 100 // percent, "right"))
@@ -279,12 +279,14 @@ def list_pairs(key: tuple, rows: pd.DataFrame, percent: int) -> pd.DataFrame:
                 ok = ok[(ok != x) & (100 * np.minimum(m[ok], m[x]) >= percent * np.maximum(m[ok], m[x]))]
                 found.append(np.stack([np.full(len(ok), c[x]), c[ok]], 1))
             i = j
-        name = int(np.bitwise_xor.reduce(mixed(c.astype(np.uint64), 6)).view(np.int64))
-        entries[name] = (c, m, p)
+        # lists with the same first hub are settled as one: similar sets share most of their lists
+        entries.setdefault(int(c[mixed(c.astype(np.uint64), 5).argmin()]), []).append(np.stack([c, m], 1))
     pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
     pairs = np.unique(np.sort(pairs, 1), axis=0)
     out = [pd.DataFrame({"list": np.int64(0), "a": pairs[:, 0], "b": pairs[:, 1], "n": np.int64(0)})]
-    out += [pd.DataFrame({"list": np.int64(x), "a": c, "b": np.int64(-1), "n": m}) for x, (c, m, _) in entries.items()]
+    for x, parts in entries.items():
+        each = np.unique(np.concatenate(parts), axis=0)
+        out.append(pd.DataFrame({"list": np.int64(x), "a": each[:, 0], "b": np.int64(-1), "n": each[:, 1]}))
     return pd.concat(out, ignore_index=True)
 
 
