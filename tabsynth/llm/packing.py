@@ -92,6 +92,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, room: int = 4096, end_id: int
                 cols = [part.column(0).take(pa.array(rows, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * keep_ids, names + ["ids"] * keep_ids)
+        word_ids(tokenizer).forget()
 
     return docs.select(key, text).mapInArrow(run, schema)
 

@@ -11,7 +11,7 @@ import re
 from array import array
 
 #: Entries that a worker keeps at most; further words are encoded whenever they come.
-MAX_WORDS, MAX_PIECES = 500_000, 400_000
+MAX_WORDS, MAX_PIECES = 300_000, 200_000
 #: Words that the pattern below splits as the tokenizer does: its own normalising changes only their case.
 PLAIN = re.compile("[!-~À-įı-ɏ]+")
 JOINED = 512
@@ -56,7 +56,11 @@ class WordIds:
         out, split = {}, {}
         for w in words:
             s = w.decode()
-            if PLAIN.fullmatch(s):
+            if w.isalpha():  # ASCII letters, lower-case already: one piece
+                split[w] = [s]
+            elif w[-1:] in (b".", b",") and w[:-1].isalpha():
+                split[w] = [s[:-1], s[-1]]
+            elif PLAIN.fullmatch(s):
                 split[w] = self.split(s.lower())
             else:
                 out[w] = array("I", self._encode(s)).tobytes()
@@ -85,6 +89,17 @@ class WordIds:
         return [b"".join([known[w] if w in known else new[w] for w in ws]) for ws in split]
 
 
+    def forget(self) -> None:
+        """Gives memory back when a task ends: an idle worker holds little, and the next task's words come anew."""
+        import ctypes
+
+        self.words.clear()
+        self.pieces.clear()
+        self.tokenizer.model._clear_cache()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 _made: dict[str, WordIds] = {}
 
 
