@@ -1,25 +1,24 @@
 """Quality rules: base rules, and a hashed n-gram log-likelihood ratio between two multinomials.
 
-Trusted documents and the whole corpus each give a multinomial over hashed word uni- and bigrams. A
-document's score is the mean of log(trusted / corpus) over its n-grams. The threshold is fixed by the trusted
-documents' own scores, so equal input gives equal verdicts. DataFrame functions only.
+Trusted documents and the whole corpus each give a multinomial over hashed word uni- and bigrams, which is joined to the
+documents' n-grams. A document's score is the mean of log(trusted / corpus) over its n-grams. The threshold is derived from
+the trusted documents' own scores, so equal input gives equal verdicts. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsynth.llm.common import WORD
+from tabsynth.llm.common import WORD, written
 
 #: Fixed value: the symbols that count.
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
-#: Trusted documents that are counted at most.
-MAX_TRUSTED = 50_000
+#: Of the trusted documents' scores, for the threshold.
+QUANTILE = 0.005
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
 
@@ -59,48 +58,53 @@ def repeated_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def ngram_buckets(hashes: Column, buckets: int) -> Column:
-    """Buckets of a text's uni- and bigrams. hashes: of its words, lower-cased."""
+def ngram_counts(hashes: Column) -> Column:
+    """h and tf of each distinct uni- and bigram of a text. hashes: of its words, lower-cased."""
 
     def grams(h: Column) -> Column:
-        one = F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
         pairs = F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0)))
-        return F.concat(one, F.transform(pairs, lambda x, i: F.pmod(F.xxhash64(F.get(h, i), x), F.lit(buckets)).cast("int")))
+        return F.array_sort(F.concat(h, F.transform(pairs, lambda x, i: F.xxhash64(F.get(h, i), x))))
 
-    return let(hashes, grams)
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when(~F.get(s, i - 1).eqNullSafe(x), i)), lambda i: i.isNotNull())
+        return let(starts, lambda a: F.transform(a, lambda i, n: F.struct(F.get(s, i).alias("h"), (F.coalesce(F.get(a, n + 1), F.size(s)) - i).alias("tf"))))
 
+    return let(let(hashes, grams), runs)
 
-def _hashed(found: Column) -> Column:
-    return F.transform(found, lambda w: F.xxhash64(F.lower(w)))
 
+def ngrams(docs: DataFrame, trusted: DataFrame, key: str, text: str) -> DataFrame:
+    """k, x (hash of the text), t (1: trusted), h and tf of each distinct n-gram of each row."""
+    keys = trusted.select(F.col(key).alias("k")).where("k is not null").distinct().withColumn("t", F.lit(1))
+    marked = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("x"), F.col(text).alias("_text")).join(keys, "k", "left")
+    hashes = F.transform(words(F.col("_text")), lambda w: F.xxhash64(F.lower(w)))
+    return marked.select("k", "x", F.coalesce("t", F.lit(0)).alias("t"), F.inline(ngram_counts(hashes)))
 
-def fit_ratio(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = 1 << 14, prior: float = 1.0, max_trusted: int = MAX_TRUSTED) -> list[float]:
-    """log(trusted / corpus) for each bucket. trusted: the keys of trusted documents.
 
-    The corpus's side counts all documents. The trusted side takes max_trusted documents at most, those whose keys
-    have the smallest hashes, so their keys can be broadcast and no text is shuffled. Only one sum for each bucket
-    reaches the driver, whatever the corpus's size.
+def ratio_scores(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", prior: float = 1.0) -> DataFrame:
+    """k, x, t, n_grams and score (mean log ratio of trusted to corpus) of each key and text with a word.
+
+    All documents and all trusted documents count, and each distinct n-gram has a count of its own (64-bit hashes), however many
+    there are. A row's own counts are taken out before it is scored, so trusted documents score like others of their
+    kind. prior is added to the trusted count and to the one expected: with little evidence the ratio is near 1.
     """
-    keys = trusted.select(F.col(key).alias("_k")).where("_k is not null").distinct().orderBy(F.xxhash64("_k"), "_k").limit(max_trusted).withColumn("_t", F.lit(1))
-    marked = docs.select(F.col(key).alias("_k"), F.col(text).alias("_x")).join(F.broadcast(keys), "_k", "left")
-    grams = marked.select(F.explode(ngram_buckets(_hashed(words(F.col("_x"))), buckets)).alias("b"), F.coalesce("_t", F.lit(0)).alias("t"))
-    rows = grams.groupBy("b").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n")).collect()
-    t, n = [0] * buckets, [0] * buckets
-    for r in rows:
-        t[r["b"]], n[r["b"]] = r["t"], r["n"]
-    all_t, all_n = sum(t), sum(n)
-    share = [(x + 1) / (all_n + buckets) for x in n]
-    # the corpus's share counts as `prior` n-grams for each bucket on average: with little evidence the ratio is near 1
-    weight = prior * buckets
-    return [math.log((x + weight * p) / ((all_t + weight) * p)) for x, p in zip(t, share, strict=True)]
-
-
-def ratio_score(found: Column, ratio: list[float]) -> Column:
-    """Mean log ratio of the n-grams of a text's words; 0 without any."""
-    table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratio)), ",").cast("array<double>")  # folded to one literal
-    grams = ngram_buckets(_hashed(found), len(ratio))
-    score = lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.size(g))
-    return let(grams, score)
+    rows = ngrams(docs, trusted, key, text)
+    counts = written(rows.groupBy("h").agg(F.sum(F.col("tf") * F.col("t")).alias("in_t"), F.sum("tf").alias("in_n")).where("in_n > 1"), "ngrams")
+    size = F.greatest(2 * F.size(words(F.col(text))) - 1, F.lit(0))
+    total = docs.select(F.col(key).alias("k"), size.alias("n")).join(trusted.select(F.col(key).alias("k")).distinct(), "k", "left_semi").agg(F.sum("n")).first()[0] or 0
+    share = total / max(docs.agg(F.sum(size)).first()[0] or 0, 1)
+    found = F.coalesce(F.col("in_t") - F.col("tf") * F.col("t"), F.lit(0))
+    expected = F.coalesce(F.col("in_n") - F.col("tf"), F.lit(0)) * share
+    # summed as whole millionths, so that the order of rows doesn't matter
+    ratio = F.round(F.log((found + prior) / (expected + prior)) * 1e6).cast("long")
+    scored = rows.join(counts, "h", "left").groupBy("k", "x", "t").agg(F.sum("tf").alias("n_grams"), (F.sum(F.col("tf") * ratio) / F.sum("tf") / 1e6).alias("score"))
+    return written(scored, "scores")
+
+
+def trusted_threshold(scores: DataFrame) -> float:
+    """The low quantile of the scores of all trusted documents with enough words, less a quarter of its distance to the median."""
+    known = scores.where((F.col("t") == 1) & (F.col("n_grams") >= 2 * MIN_WORDS - 1))
+    q = known.agg(F.percentile(F.round("score", 3), F.array(F.lit(QUANTILE), F.lit(0.5)))).first()[0]  # rounded: few distinct values
+    return q[0] - (q[1] - q[0]) / 4 if q else 0.0
 
 
 def base_rules(text: Column, found: Column) -> dict[str, Column]:
@@ -115,15 +119,19 @@ def base_rules(text: Column, found: Column) -> dict[str, Column]:
     }
 
 
-def quality_verdicts(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = 1 << 14, threshold: float = -0.12) -> DataFrame:
+def quality_verdicts(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", threshold: float | None = None) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept.
 
-    A document is kept if it passes the base rules and its score is at least the threshold. Null and empty texts
-    have no words and fail the base rules. Repeated rows get equal verdicts, whatever the order. Without trusted
+    A document is kept if it passes the base rules and its score is at least the threshold (None: trusted_threshold). Null and
+    empty texts have no words and fail the base rules. Repeated rows get equal verdicts, whatever the order. Without trusted
     documents every score is 0. Columns of these names in docs are replaced; trusted may have any others.
     """
-    ratio = fit_ratio(docs, trusted, key, text, buckets)
+    scores = ratio_scores(docs, trusted, key, text)
+    threshold = trusted_threshold(scores) if threshold is None else threshold
     cut = docs.withColumn("_words", words(F.col(text)))  # a step of its own, so that texts are split once
-    out = cut.withColumns(base_rules(F.col(text), F.col("_words")) | {"score": ratio_score(F.col("_words"), ratio)}).drop("_words")
+    ruled = cut.withColumns(base_rules(F.col(text), F.col("_words")) | {"_x": F.xxhash64(text)}).drop("_words", "score")
+    right = scores.select(F.col("k").alias("_k"), F.col("x").alias("_y"), F.col("score").alias("_score"))
+    out = ruled.join(right, ruled[key].eqNullSafe(right["_k"]) & (ruled["_x"] == right["_y"]), "left")
+    out = out.withColumn("score", F.coalesce("_score", F.lit(0.0))).drop("_k", "_x", "_y", "_score")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))

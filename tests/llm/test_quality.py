@@ -47,3 +47,13 @@ def test_verdicts(spark):
         assert r.kept == (n >= 20 and "word" in r.text), r
     assert quality.quality_verdicts(docs.limit(0), trusted).count() == 0
     assert all(r.score == 0 for r in quality.quality_verdicts(docs, trusted.limit(0)).collect())
+
+
+def test_junk_is_caught_at_two_sizes(spark):
+    for sf, most in (("/root/testdata/sf0.01", 0.15), ("/root/testdata/sf0.1", 0.02)):
+        docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+        labels = spark.read.parquet(f"{sf}/labels.parquet")
+        verdicts = quality.quality_verdicts(docs, labels.where("quality = 1 and toxic = 0")).drop("text")
+        rows = verdicts.where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.count_if("kept").alias("kept"), F.count("*").alias("n")).collect()
+        got = {r.quality: (r.kept, r.n) for r in rows}
+        assert got[0][0] <= most * got[0][1] and got[1][0] >= 0.98 * got[1][1]
