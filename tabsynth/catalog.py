@@ -318,7 +318,7 @@ def im2_missing_indicators(spark, d):
 
 @query()
 def im3_categorical_forest(spark, d):
-    return impute.impute_categorical_rf(customers(spark, d), meta=CUSTOMER_META, trees=20)[0].select("k", "seg")
+    return impute.impute_categorical_rf(customers(spark, d), meta=CUSTOMER_META)[0].select("k", "seg")
 
 
 @query()
@@ -576,15 +576,15 @@ def _small(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def cv1_augmented_classification(spark, d):
     path = f"{shared_dir(spark)}/folds-{uuid.uuid4().hex}"
-    return augmented_classification_cv(_small(spark, d), "seg", CUSTOMER_META | {"k": "primary_key"}, "k", generator=synth.copula_generator(CUSTOMER_META), generator_name="GaussianCopula", path=path, splits=2, repeats=1, trees=3)[1]
+    return augmented_classification_cv(_small(spark, d), "seg", CUSTOMER_META | {"k": "primary_key"}, "k", generator=synth.copula_generator(CUSTOMER_META), generator_name="GaussianCopula", path=path)[1]
 
 
 @query()
 def cv2_augmented_regression(spark, d):
     path = f"{shared_dir(spark)}/folds-{uuid.uuid4().hex}"
-    return augmented_regression_cv(_small(spark, d), "bal", CUSTOMER_META | {"k": "primary_key"}, "k", generator=synth.copula_generator(CUSTOMER_META), generator_name="GaussianCopula", path=path, splits=2, repeats=1, trees=3, boosted_trees=3)[1]
+    return augmented_regression_cv(_small(spark, d), "bal", CUSTOMER_META | {"k": "primary_key"}, "k", generator=synth.copula_generator(CUSTOMER_META), generator_name="GaussianCopula", path=path)[1]
 
 
 @query()
 def cv3_regression(spark, d):
-    return regression_cv(_small(spark, d), "bal", "k", splits=2, repeats=1, trees=3, boosted_trees=3)[0]
+    return regression_cv(_small(spark, d), "bal", "k")[0]

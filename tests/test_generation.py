@@ -92,3 +92,14 @@ def test_whole_run(spark, real, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/out/datasets")
     assert {(r.generator, r["count"]) for r in back.groupBy("generator").count().collect()} == {("real", 120), ("GaussianCopula", 500)}
     assert "r" in back.columns and not [c for c in back.columns if c.startswith("missingindicator")]
+
+
+def test_registered_queries_use_the_operators_defaults(spark, monkeypatch):
+    from tabsynth import catalog
+
+    called = {}
+    for owner, name in [(catalog, "augmented_classification_cv"), (catalog, "augmented_regression_cv"), (catalog, "regression_cv"), (catalog.impute, "impute_categorical_rf")]:
+        monkeypatch.setattr(owner, name, lambda df, *_, _name=name, **options: called.update({_name: options}) or [df, df])
+    for query in (catalog.cv1_augmented_classification, catalog.cv2_augmented_regression, catalog.cv3_regression, catalog.im3_categorical_forest):
+        query(spark, "/root/testdata/sf0.001")
+    assert len(called) == 4 and not {"splits", "repeats", "trees", "boosted_trees"} & {k for o in called.values() for k in o}
