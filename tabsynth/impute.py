@@ -50,10 +50,10 @@ def add_missing_indicators(df: DataFrame) -> DataFrame:
     return impute_simple(marked, keep=list(marks))[0]
 
 
-def impute_categorical_rf(train: DataFrame, *others: DataFrame, meta: dict[str, str], trees: int = 100, seed: int = 42, exclude: tuple[str, ...] = (), fold: bool = False, max_fit_rows: int = 200_000) -> list[DataFrame]:
+def impute_categorical_rf(train: DataFrame, *others: DataFrame, meta: dict[str, str], trees: int = 100, seed: int = 42, exclude: tuple[str, ...] = (), fold: bool = False) -> list[DataFrame]:
     """Missing categories predicted by a random forest on the numerical columns.
 
-    No numerical columns: as they are (fold: the mode). No known value: 'Missing'. One known class: that one. The forest is fit on max_fit_rows known rows at most.
+    No numerical columns: as they are (fold: the mode). No known value: 'Missing'. One known class: that one. The forest is fit on all known rows.
     """
     frames = [train, *others]
     numbers = [c for c, k in meta.items() if k == NUMERICAL and c in train.columns and c not in exclude]
@@ -75,7 +75,7 @@ def impute_categorical_rf(train: DataFrame, *others: DataFrame, meta: dict[str,
         else:
             inputs = {f"_x{i}": F.coalesce(F.col(n).cast("double"), F.lit(float(medians[n]))) for i, n in enumerate(numbers)}
             assembler = VectorAssembler(inputCols=list(inputs), outputCol="_features")
-            known = assembler.transform(frames[0].where(F.col(c).isNotNull()).withColumns(inputs).withColumn("_text", text)).limit(max_fit_rows)
+            known = assembler.transform(frames[0].where(F.col(c).isNotNull()).withColumns(inputs).withColumn("_text", text))
             indexer = StringIndexer(inputCol="_text", outputCol="_label", stringOrderType="alphabetAsc").fit(known)
             forest = RandomForestClassifier(labelCol="_label", featuresCol="_features", predictionCol="_said", probabilityCol="_p", rawPredictionCol="_r", numTrees=trees, seed=seed).fit(indexer.transform(known))
             back = IndexToString(inputCol="_said", outputCol="_value", labels=indexer.labels)

@@ -103,3 +103,14 @@ def test_registered_queries_use_the_operators_defaults(spark, monkeypatch):
     for query in (catalog.cv1_augmented_classification, catalog.cv2_augmented_regression, catalog.cv3_regression, catalog.im3_categorical_forest):
         query(spark, "/root/testdata/sf0.001")
     assert len(called) == 4 and not {"splits", "repeats", "trees", "boosted_trees"} & {k for o in called.values() for k in o}
+
+
+def test_late_rows_count(spark):
+    late = spark.range(0, 1_000_200, 1, 4).select(F.when(F.col("id") < 1_000_000, 1.0).otherwise(9.0).alias("a"))
+    fitted = synth.CartSynthesizer({"a": "numerical"}).fit(late)
+    assert fitted.range["a"] == (1.0, 9.0) and fitted.donors["a"].where("value = 9").count() == 200
+    rows = spark.range(0, 200_600, 1, 4).selectExpr("case when id < 200000 then 0D else 50D end x", "case when id < 100000 then 'b' when id < 200000 then 'c' when id < 200599 then 'late' end s")
+    from tabsynth import impute
+
+    repaired = impute.impute_categorical_rf(rows, meta={"x": "numerical", "s": "categorical"}, trees=3)[0]
+    assert repaired.where("s = 'late'").count() == 600
