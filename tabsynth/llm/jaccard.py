@@ -1,15 +1,19 @@
 """Exact Jaccard self-join of word-shingle sets, and the classes that its links make.
 
-Sets are equal or they aren't: equal ones become one class first. Any one order of the shingles gives a prefix
-filter, here: rarest first by a sketch of all documents' counts, then by hash. Index lists hold (class, size, place in the
-order). They are sorted by size and skipped by blocks: a set meets only the block whose sizes can reach the
-threshold, and a pair only if its places leave room for enough common shingles.
-
-Short lists give all their pairs. In a long list, which a large group of similar sets makes, each set is compared with a
-few hubs. What the other pairs would answer follows from those answers where it can: sets that hang together
-already need no pair, and by the triangle inequality of the Jaccard distance two sets whose distances to
-a hub differ by more than the bound can't link. Of the rest, a pair is compared only if the two sets' counts in a few
-hundred hash cells allow as many common shingles as a link needs.
+Equal sets become one class first. Then three steps find every link between classes, or what settles it:
+
+1. Hubs. Classes with an equal least hash of their shingles (four hash functions) are compared with one of them, the
+   hub: that with the smallest share of rare shingles, which is the most central. A class has four hubs at most, so these pairs grow as
+   the classes do, however large a group of similar sets is. Of each pair whose similarity is a half or more, the
+   shingles by which the set differs from its hub are kept.
+2. Answers derived from a similar set's. With hub H, what sets lack of H (G) and have beyond H (E),
+   |x & y| = |H| - |Gx| - |Gy| + |Gx & Gy| + |Ex & Ey|. So all pairs of one hub are settled exactly from short lists of differences. Two sets that
+   both link to the hub are in its component already; the rest are compared in tiles of bounded size, of which those whose distances to the
+   hub differ too much are skipped by the triangle inequality.
+3. Prefix filter, for pairs that share no hub. Any one order of the shingles gives one, here: rarest first by a sketch of all documents' counts, then by
+   hash. Index lists hold (class, size, place in the order) in blocks; a block meets another only if their sizes and places
+   leave room for enough common shingles. Pairs whose counts in a few hundred hash cells rule a link out are dropped; the
+   rest are compared as whole texts.
 """
 
 from __future__ import annotations
@@ -29,8 +33,11 @@ from tabsynth.llm.components import connected_components
 
 WORDS = 5
 CELLS = 1 << 22  # of the sketch of shingle counts
-SHORT = 48  # lists of at most this many classes give all their pairs
-HUBS = 3
+SHORT = 48  # lists of at most this many classes are not cut into blocks
+BLOCK = 32  # entries of a long list's block
+HASHES = 4  # least hashes of a set: so many hubs at most
+COVER = 50  # percent of similarity to a hub from which differences to it are kept
+TILE = 2048  # sets of one hub that a task compares with as many
 TALLY = 256  # hash cells that a set's shingles are counted in
 BUCKET_POSTINGS = 300_000
 GROUP_SHINGLES = 2_000_000
@@ -180,7 +187,7 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def set_prefixes(docs: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
-    """k, doc_id, n, d1, d2 (digest of the set), tally and prefix (hashes in order). docs: k, text, doc_id."""
+    """k, doc_id, n, d1, d2 (digest of the set), rare (millionths of rare shingles), least (hashes), tally and prefix (hashes in order). docs: k, text, doc_id."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(classes)
 
@@ -198,22 +205,27 @@ def set_prefixes(docs: DataFrame, classes: np.ndarray, words: int, percent: int)
                 tally = tallies(s, n)
                 doc = np.repeat(np.arange(len(n)), n)
                 c = classes[(s & np.uint64(CELLS - 1)).astype(np.int64)]
+                least, rare = np.zeros((len(n), HASHES), np.int64), np.zeros(len(n), np.int64)
+                if len(s):
+                    least[some] = np.stack([np.minimum.reduceat(mixed(s, 1000 + i), (ends - n)[some]).view(np.int64) for i in range(HASHES)], 1)
+                    rare[some] = np.add.reduceat((c == 0).astype(np.int64), (ends - n)[some]) * 1_000_000 // n[some]
                 s = s[np.argsort(doc * 64 + c, kind="stable")]
                 keep = n - need(n, percent) + 1
                 prefix = [s[e - k : e - k + p].tobytes() if k else b"" for e, k, p in zip(ends.tolist(), n.tolist(), keep.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(tally, pa.binary()), pa.array(prefix, pa.binary())], ["k", "doc_id", "n", "d1", "d2", "tally", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(rare), pa.array(list(least), pa.list_(pa.int64())), pa.array(tally, pa.binary()), pa.array(prefix, pa.binary())], ["k", "doc_id", "n", "d1", "d2", "rare", "least", "tally", "prefix"])
 
-    return docs.select("k", "text", "doc_id").mapInArrow(run, f"k long, doc_id {kind}, n long, d1 long, d2 long, tally binary, prefix binary")
+    return docs.select("k", "text", "doc_id").mapInArrow(run, f"k long, doc_id {kind}, n long, d1 long, d2 long, rare long, least array<long>, tally binary, prefix binary")
 
 
 def bucketed(sets: DataFrame, buckets: int) -> DataFrame:
-    """Postings of sets (cid, n, prefix), packed: a row for each batch of sets and bucket of hashes."""
-    names = ["bucket", "hash", "set", "place", "cid", "n"]
+    """Postings of sets (cid, n, prefix, hubs), packed: a row for each batch of sets and bucket of hashes."""
+    names = ["bucket", "hash", "set", "place", "cid", "n", "hubs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cid, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             raw = batch.column(2).to_pylist()
+            hubs = np.array([(y or [])[: HASHES + 1] + [-1] * (HASHES + 1 - len(y or [])) for y in batch.column(3).to_pylist()], np.int64).reshape(len(batch), -1)
             h = np.frombuffer(b"".join(raw), np.uint64)
             p = np.array([len(x) // 8 for x in raw])
             at = np.repeat(np.arange(len(p)), p)
@@ -225,11 +237,11 @@ def bucketed(sets: DataFrame, buckets: int) -> DataFrame:
             for k in np.flatnonzero(cut[1:] > cut[:-1]):
                 mine = order[cut[k] : cut[k + 1]]
                 used, local = np.unique(at[mine], return_inverse=True)
-                out.append((int(k), h[mine].tobytes(), local.astype(np.uint32).tobytes(), place[mine].astype(np.uint32).tobytes(), cid[used].tobytes(), n[used].tobytes()))
-            cols = list(zip(*out, strict=True)) or [()] * 6
+                out.append((int(k), h[mine].tobytes(), local.astype(np.uint32).tobytes(), place[mine].astype(np.uint32).tobytes(), cid[used].tobytes(), n[used].tobytes(), hubs[used].tobytes() if (hubs[used] >= 0).any() else b""))
+            cols = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names)
 
-    return sets.select("cid", "n", "prefix").mapInArrow(run, "bucket int, hash binary, set binary, place binary, cid binary, n binary")
+    return sets.select("cid", "n", "prefix", "hubs").mapInArrow(run, "bucket int, hash binary, set binary, place binary, cid binary, n binary, hubs binary")
 
 
 def fits(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, percent: int) -> np.ndarray:
@@ -241,57 +253,71 @@ def fits(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, percent
     return (100 * n1 >= percent * n2) & (room >= least) & early
 
 
-def list_pairs(key: tuple, rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of one bucket's lists (a, b) and, for long lists, their entries (list, a, n, place)."""
+def block_pairs(n: np.ndarray, place: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a long list's entries, ascending by n, that could link. Blocks whose best case falls short are skipped as a whole."""
+    order = np.lexsort((place, np.log(n) // 0.1))  # blocks of like size and place
+    starts = np.arange(0, len(n), BLOCK)
+    n_, p_, rest_ = n[order], place[order], (n - place)[order]
+    least_n, most_n = np.minimum.reduceat(n_, starts), np.maximum.reduceat(n_, starts)
+    most_p, most_rest = np.maximum.reduceat(p_, starts), np.maximum.reduceat(rest_, starts)
+    for i in range(len(starts)):
+        j = np.arange(i, len(starts))
+        room = np.minimum(most_p[i], most_p[j]) + np.minimum(most_rest[i], most_rest[j])
+        j = j[(room * (100 + percent) >= percent * (least_n[i] + least_n[j])) & (100 * most_n[i] >= percent * least_n[j]) & (100 * most_n[j] >= percent * least_n[i])]
+        mine = order[i * BLOCK : (i + 1) * BLOCK]
+        others = np.concatenate([order[k * BLOCK : (k + 1) * BLOCK] for k in j]) if len(j) else order[:0]
+        a, b = np.repeat(mine, len(others)), np.tile(others, len(mine))
+        new = np.repeat(np.arange(len(mine)), len(others)) + i * BLOCK < np.tile(np.concatenate([np.arange(k * BLOCK, min((k + 1) * BLOCK, len(n))) for k in j]) if len(j) else np.arange(0), len(mine))
+        a, b = np.minimum(a[new], b[new]), np.maximum(a[new], b[new])
+        ok = fits(n[a], place[a], n[b], place[b], percent)
+        yield a[ok], b[ok]
+
+
+def list_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs a, b of one bucket's lists that share no hub and could link."""
     h = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["hash"]])
-    cid = np.concatenate([np.frombuffer(c, np.int64)[np.frombuffer(s, np.uint32)] for c, s in zip(rows["cid"], rows["set"], strict=True)])
-    n = np.concatenate([np.frombuffer(c, np.int64)[np.frombuffer(s, np.uint32)] for c, s in zip(rows["n"], rows["set"], strict=True)])
+    at = np.concatenate([[0], np.cumsum([len(x) // 8 for x in rows["cid"]])])
+    who = np.concatenate([np.frombuffer(s, np.uint32).astype(np.int64) + i for s, i in zip(rows["set"], at, strict=False)])
+    ids, sizes = (np.concatenate([np.frombuffer(x, np.int64) for x in rows[c]]) for c in ("cid", "n"))
+    hubs = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, HASHES + 1) if x else np.full((len(c) // 8, HASHES + 1), -1) for x, c in zip(rows["hubs"], rows["cid"], strict=True)])
     place = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["place"]]).astype(np.int64)
-    order = np.lexsort((cid, n, h))
-    h, cid, n, place = h[order], cid[order], n[order], place[order]
+    order = np.lexsort((ids[who], sizes[who], h))
+    h, who, place = h[order], who[order], place[order]
+    n = sizes[who]
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
-    at = np.cumsum(new) - 1
-    size = np.bincount(at)
-    small = (size[at] > 1) & (size[at] <= SHORT)
-    found = []
-    h1, c1, n1, p1 = h[small], cid[small], n[small], place[small]
+    size = np.bincount(np.cumsum(new) - 1)
+    begin = np.cumsum(size) - size
+    small = np.repeat((size > 1) & (size <= SHORT), size)
+    found = [np.zeros((0, 2), np.int64)]
+
+    def keep(a: np.ndarray, b: np.ndarray) -> None:
+        x, y = np.minimum(who[a], who[b]), np.maximum(who[a], who[b])
+        x, y = np.unique(np.stack([x, y], 1), axis=0).T if len(x) else (x, y)
+        shared = np.zeros(len(x), bool)
+        for i in range(HASHES + 1):
+            shared |= ((hubs[x, i] >= 0)[:, None] & (hubs[x, i][:, None] == hubs[y])).any(1)
+        found.append(np.stack([x[~shared], y[~shared]], 1))
+
+    h1, at1 = h[small], np.flatnonzero(small)
     for gap in range(1, SHORT):
-        if gap >= len(h1):
-            break
-        same = np.flatnonzero((h1[gap:] == h1[:-gap]) & (100 * n1[:-gap] >= percent * n1[gap:]))
+        same = np.flatnonzero((h1[gap:] == h1[:-gap]) & (100 * n[at1[:-gap]] >= percent * n[at1[gap:]])) if gap < len(h1) else []
         if not len(same):
             break  # sorted by size: wider gaps only differ more
-        same = same[fits(n1[same], p1[same], n1[same + gap], p1[same + gap], percent)]
-        found.append(np.stack([c1[same], c1[same + gap]], 1))
-    long = np.flatnonzero(size > SHORT)
-    begin = np.cumsum(size) - size
-    entries = {}
-    for k in long:
-        mine = slice(int(begin[k]), int(begin[k] + size[k]))
-        c, m = cid[mine], n[mine]
-        i = 0
-        while i < len(c):  # blocks of sizes that can all link
-            j = int(np.searchsorted(m, m[i] * 100 // percent, "right"))
-            hubs = i + np.argsort(mixed(c[i:j].astype(np.uint64), 5))[:HUBS]
-            for x in hubs:
-                ok = np.arange(i, len(c))
-                ok = ok[(ok != x) & (100 * np.minimum(m[ok], m[x]) >= percent * np.maximum(m[ok], m[x]))]
-                found.append(np.stack([np.full(len(ok), c[x]), c[ok]], 1))
-            i = j
-        # lists with the same first hub are settled as one: similar sets share most of their lists
-        entries.setdefault(int(c[mixed(c.astype(np.uint64), 5).argmin()]), []).append(np.stack([c, m], 1))
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    pairs = np.unique(np.sort(pairs, 1), axis=0)
-    out = [pd.DataFrame({"list": np.int64(0), "a": pairs[:, 0], "b": pairs[:, 1], "n": np.int64(0)})]
-    for x, parts in entries.items():
-        each = np.unique(np.concatenate(parts), axis=0)
-        out.append(pd.DataFrame({"list": np.int64(x), "a": each[:, 0], "b": np.int64(-1), "n": each[:, 1]}))
-    return pd.concat(out, ignore_index=True)
+        a, b = at1[same], at1[same + gap]
+        ok = fits(n[a], place[a], n[b], place[b], percent)
+        keep(a[ok], b[ok])
+    for k in np.flatnonzero(size > SHORT):
+        i, j = int(begin[k]), int(begin[k] + size[k])
+        for a, b in block_pairs(n[i:j], place[i:j], percent):
+            keep(a + i, b + i)
+    pairs = np.unique(np.sort(ids[np.concatenate(found)], 1), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b, common (shingles), linked of each pair, from whole texts. pairs: a, b; classes: cid, k, n; docs: k, text.
+    """a, b, common, total (shingles), linked of each pair, from whole texts; and of pairs that are COVER percent similar, what b lacks of a
+    (gone) and has beyond it (extra). pairs: a, b; classes: cid, k, n; docs: k, text.
 
     A group gets the texts that its pairs name, each once, and holds some GROUP_SHINGLES shingles; a set with many
     partners is dealt to several groups, so none is fuller than others.
@@ -320,51 +346,109 @@ def compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, p
                     sets[c] = x
         pair = table.filter(is_pair)
         a, b = pair.column("cid").to_pylist(), pair.column("b").to_pylist()
-        common = [len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)]
-        union = [len(sets[x]) + len(sets[y]) - c for x, y, c in zip(a, b, common, strict=True)]
-        linked = [100 * c >= percent * u for c, u in zip(common, union, strict=True)]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "common": pa.array(common, pa.int64()), "total": pa.array(union, pa.int64()), "linked": pa.array(linked, pa.bool_())})
-
-    return rows.groupBy("g").applyInArrow(run, "a long, b long, common long, total long, linked boolean")
-
+        common, union, linked, gone, extra = [], [], [], [], []
+        for s, t in zip((sets[x] for x in a), (sets[y] for y in b), strict=True):
+            both = np.intersect1d(s, t, assume_unique=True)
+            c, u = len(both), len(s) + len(t) - len(both)
+            common.append(c)
+            union.append(u)
+            linked.append(100 * c >= percent * u)
+            near = 100 * c >= COVER * u
+            gone.append(np.setdiff1d(s, both, assume_unique=True).tobytes() if near else None)
+            extra.append(np.setdiff1d(t, both, assume_unique=True).tobytes() if near else None)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "common": pa.array(common, pa.int64()), "total": pa.array(union, pa.int64()), "linked": pa.array(linked, pa.bool_()), "gone": pa.array(gone, pa.binary()), "extra": pa.array(extra, pa.binary())})
+
+    return rows.groupBy("g").applyInArrow(run, "a long, b long, common long, total long, linked boolean, gone binary, extra binary")
+
+
+def hub_pairs(classes: DataFrame) -> DataFrame:
+    """a (hub), b of classes that have a least hash in common and sizes that allow COVER percent of similarity. classes: cid, n, rare, least."""
+    keyed = classes.select("cid", "n", "rare", F.posexplode("least").alias("i", "v"))
+    hubs = keyed.groupBy("i", "v").agg(F.min(F.struct("rare", F.xxhash64("cid").alias("x"), "cid", "n")).alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    both = keyed.join(hubs.select("i", "v", F.col("hub.cid").alias("a"), F.col("hub.n").alias("na")), ["i", "v"])
+    return both.where(f"a != cid and 100 * least(n, na) >= {COVER} * greatest(n, na)").select("a", F.col("cid").alias("b")).distinct()
+
+
+def derived_links(answers: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b that join all sets of each hub which link with one another, from their differences to the hub alone."""
+    spark = answers.sparkSession
+    size = F.octet_length
+    near = answers.where("gone is not null").select(F.col("a").alias("hub"), F.col("b").alias("cid"), "gone", "extra", (~F.col("linked")).alias("open"), F.floor((1 - F.col("common") / F.col("total")) * 20).cast("int").alias("far"))
+    hubs = near.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.count_if("open").alias("n_open")).where("members > 1 and n_open > 0")
+    near = near.join(hubs.join(classes.select(F.col("cid").alias("hub"), F.col("n").alias("h")), "hub"), "hub")
+    few = F.pmod(F.xxhash64("hub"), F.lit(shuffle_partitions(spark)))
+    fields = ["tile", "side", "hub", "h", "cid", "gone", "extra", "open"]
+    small = near.where(f"members <= {TILE}").withColumns({"tile": few, "side": F.lit(0)}).select(*fields)
+    # large groups: blocks of like distance to the hub, and tiles of two blocks that the triangle inequality doesn't rule out
+    large = near.where(f"members > {TILE}")
+    sized = large.groupBy("hub", "far").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("ys"), F.ceil(F.count_if("open") / TILE).cast("int").alias("xs"))
+    reach = math.ceil((100 - percent) / 5) + 1
+    x, y = sized.where("xs > 0").select("hub", F.col("far").alias("fx"), "xs"), sized.select("hub", F.col("far").alias("fy"), "ys")
+    met = x.join(y, "hub").where(F.abs(F.col("fx") - F.col("fy")) <= reach)
+    left = large.where("open").join(met, [large["hub"] == met["hub"], large["far"] == met["fx"]]).drop(met["hub"]).withColumns({"side": F.lit(1), "i": F.pmod(F.xxhash64("cid"), "xs").cast("int"), "j": F.explode(F.expr("sequence(0, ys - 1)"))})
+    right = large.join(met, [large["hub"] == met["hub"], large["far"] == met["fy"]]).drop(met["hub"]).withColumns({"side": F.lit(2), "j": F.pmod(F.xxhash64("cid"), "ys").cast("int"), "i": F.explode(F.expr("sequence(0, xs - 1)"))})
+    tiled = left.select("fx", "fy", "i", "j", *fields[1:]).unionByName(right.select("fx", "fy", "i", "j", *fields[1:])).withColumn("tile", F.xxhash64("hub", "fx", "fy", "i", "j")).select(*fields)
 
-def open_pairs(lists: DataFrame, answers: DataFrame, parts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of long lists that the answers known so far don't settle. lists: list, a, n.
-
-    A set that hangs together with most of its list is settled against all of those. For the others, each hub's
-    answers give bounds on the distance to every set that it was compared with.
-    """
-    entry = lists.join(parts.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    both = answers.select("a", F.col("b").alias("hub"), "common", "total").unionByName(answers.select(F.col("b").alias("a"), F.col("a").alias("hub"), "common", "total"))
-    # only lists that aren't one component already are gathered, and of their sets the distances to the hubs
-    mixed_lists = entry.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("list")
-    entry = written(entry.join(mixed_lists, "list"), "entries")
-    near = both.withColumn("d", 1 - F.col("common") / F.col("total")).join(entry.select("a").distinct(), "a").groupBy("a").agg(F.min_by(F.struct("hub", "d"), F.xxhash64("hub")).alias("h"))
-    entry = entry.join(near, "a", "left").join(classes.select(F.col("cid").alias("a"), "tally"), "a").select("list", "a", "n", "component", F.col("h.hub").alias("hub"), F.col("h.d").alias("d"), "tally")
-    bound = 1 - percent / 100 + 1e-9
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "a"], kind="stable")
-        a, n, part = (rows[c].to_numpy() for c in ("a", "n", "component"))
-        tally = tally_matrix(list(rows["tally"]))
-        whole = np.array([not x for x in rows["tally"]])
-        hub, d = rows["hub"].fillna(-1).to_numpy(np.int64), rows["d"].fillna(0).to_numpy()
-        kinds, count = np.unique(part, return_counts=True)
-        most = kinds[count.argmax()]
-        out = []
-        for i in np.flatnonzero(part != most):
-            lo, hi = np.searchsorted(n, -(-n[i] * percent // 100)), np.searchsorted(n, n[i] * 100 // percent, "right")
-            j = np.arange(lo, hi)
-            j = j[(part[j] != part[i]) & ((part[j] == most) | (a[j] > a[i]))]
-            j = j[(hub[j] != hub[i]) | (hub[i] < 0) | (np.abs(d[j] - d[i]) <= bound)]
-            j = j[whole[i] | whole[j] | may_link(n[i], tally[i], n[j], tally[j], percent)]
-            out.append(np.stack([np.full(len(j), a[i]), a[j]], 1))
-        pairs = np.sort(np.concatenate(out), 1) if out else np.zeros((0, 2), np.int64)
-        pairs = np.unique(pairs, axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    found = entry.groupBy("list").applyInPandas(run, "a long, b long").distinct()
-    return found.join(answers.select("a", "b"), ["a", "b"], "left_anti")
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        columns = {c: table.column(c).to_numpy() for c in ("side", "hub", "h", "cid", "open")}
+        order = np.argsort(columns["hub"], kind="stable")
+        edges = [np.zeros((0, 2), np.int64)]
+        for mine in np.split(order, np.flatnonzero(np.diff(columns["hub"][order])) + 1) if len(order) else []:
+            part = table.take(pa.array(mine))
+            side, open_, cid = columns["side"][mine], columns["open"][mine].astype(bool), columns["cid"][mine]
+            x, y = np.flatnonzero((side == 1) | ((side == 0) & open_)), np.flatnonzero(side != 1)
+            if len(x) and len(y):
+                edges.append(forest(cid, x, y, linked_pairs(part.column("gone").to_pylist(), part.column("extra").to_pylist(), int(columns["h"][mine[0]]), x, y, cid, percent)))
+        found = np.concatenate(edges)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return small.unionByName(tiled).groupBy("tile").applyInArrow(run, "a long, b long")
+
+
+def linked_pairs(gone: list[bytes], extra: list[bytes], h: int, x: np.ndarray, y: np.ndarray, cid: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of x and y whose sets link, some at a time. gone, extra: each set's differences to a hub of h shingles."""
+    r, e = np.array([len(v) // 8 for v in gone]), np.array([len(v) // 8 for v in extra])
+    weight = 100 * r + percent * e  # (100 + percent) * overlap of differences >= both weights - (100 - percent) * h
+    items = np.frombuffer(b"".join(v for pair in zip(gone, extra, strict=True) for v in pair), np.uint64)
+    owner = np.repeat(np.arange(len(r)), r + e)
+    _, code, count = np.unique(items, return_inverse=True, return_counts=True)
+    common = count[code] > 1
+    code, owner = np.unique(code[common], return_inverse=True)[1], owner[common]
+    wide = int(code.max(initial=-1)) + 1
+    at = np.searchsorted(owner, np.arange(len(r) + 1))
+
+    def dense(rows: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        out = np.zeros((len(rows), hi - lo), np.float32)
+        for k, i in enumerate(rows):
+            c = code[at[i] : at[i + 1]]
+            out[k, c[(c >= lo) & (c < hi)] - lo] = 1
+        return out
+
+    for b in range(0, len(y), TILE):
+        ys = y[b : b + TILE]
+        for a in range(0, len(x), 256):
+            xs = x[a : a + 256]
+            overlap = np.zeros((len(xs), len(ys)), np.float32)
+            for lo in range(0, wide, 4096):
+                overlap += dense(xs, lo, min(wide, lo + 4096)) @ dense(ys, lo, min(wide, lo + 4096)).T
+            hit = (100 + percent) * overlap.astype(np.int64) >= weight[xs][:, None] + weight[ys] - (100 - percent) * h
+            i, j = np.nonzero(hit & (cid[xs][:, None] != cid[ys]))
+            yield xs[i], ys[j]
+
+
+def forest(cid: np.ndarray, x: np.ndarray, y: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Edges (a, b) that hold together what the pairs do: one for each row at most."""
+    root = np.arange(len(cid))
+    for i, j in pairs:
+        while len(i):
+            a, b = root[i], root[j]
+            differ = a != b
+            i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root != root[root]).any():
+                root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(cid)))
+    return np.stack([cid[root[moved]], cid[moved]], 1)
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -376,23 +460,21 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     keyed = docs.select(F.xxhash64(key, text).alias("k"), F.col(text).alias("text"), F.col(key).alias("doc_id"))
     order = rarity(count_sketch(keyed.select("k", "text"), words))
     sets = written(set_prefixes(keyed, order, words, percent), "sets")
-    reps = sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("k", "tally")).alias("r"))
-    classes = written(reps.select("d1", "d2", "n", F.col("r.k").alias("k"), F.col("r.tally").alias("tally"), F.monotonically_increasing_id().alias("cid")), "classes")
+    reps = sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("k", "rare", "least", "tally")).alias("r"))
+    classes = written(reps.select("d1", "d2", "n", "r.*", F.monotonically_increasing_id().alias("cid")), "classes")
     rows = sets.select("k", "doc_id", "n", "d1", "d2").join(classes.select("d1", "d2", "n", "cid"), ["d1", "d2", "n"], "left").select("k", "doc_id", "n", "cid")
-    own = sets.select("k", "prefix").join(classes.select("k", "cid", "n"), "k").dropDuplicates(["cid"])
+    answers = written(compare(hub_pairs(classes), classes, keyed, words, percent), "answers")
+    derived = derived_links(answers, classes, percent)
+    covered = answers.where("gone is not null").select("a", "b")
+    hubs = covered.select(F.col("b").alias("cid"), F.col("a").alias("hub")).union(covered.select("a", "a")).groupBy("cid").agg(F.collect_set("hub").alias("hubs"))
+    own = sets.select("k", "prefix").join(classes.select("k", "cid", "n"), "k").dropDuplicates(["cid"]).join(hubs, "cid", "left")
     postings = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     buckets = max(shuffle_partitions(spark), math.ceil(postings / BUCKET_POSTINGS))
-    found = written(bucketed(own, buckets).groupBy("bucket").applyInPandas(lambda k, r: list_pairs(k, r, percent), "list long, a long, b long, n long"), "lists")
-    pairs = written(possible(found.where("b >= 0").select("a", "b").distinct(), classes, percent), "pairs")
-    answers = written(compare(pairs, classes, keyed, words, percent), "answers")
-    links = answers.where("linked").select("a", "b")
-    parts = written(connected_components(links), "parts")
-    lists = found.where("b < 0").groupBy("list", "a").agg(F.first("n").alias("n"))
-    more = written(open_pairs(lists, answers, parts, classes, percent), "pairs")
-    if not more.isEmpty():
-        again = written(compare(more, classes, keyed, words, percent), "answers")
-        parts = written(connected_components(links.union(again.where("linked").select("a", "b"))), "parts")
-    return rows, parts
+    found = bucketed(own, buckets).groupBy("bucket").applyInPandas(lambda r: list_pairs(r, percent), "a long, b long")
+    pairs = written(possible(written(found.distinct(), "lists"), classes, percent), "pairs")
+    rest = compare(pairs, classes, keyed, words, percent)
+    links = answers.where("linked").select("a", "b").union(derived).union(rest.where("linked").select("a", "b"))
+    return rows, written(connected_components(links), "parts")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 80) -> DataFrame:
@@ -403,19 +485,22 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Repeated rows are rows of their own. Null ids never name a component that has another id. Empty tables give no rows.
     """
     rows, parts = similar_classes(docs, key, text, words, percent)
-    rows = rows.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    least = rows.where("cid is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(least, "component", "left")
+    least = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
+    parted = least.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    named = parted.join(parted.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("cid", "component_id")
+    out = rows.join(named, "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 80) -> DataFrame:
-    """docs without all but one row of each component: that with the smallest id (null last). Rows without words stay."""
-    names = docs.columns
+    """docs without all but one row of each component: that with the smallest id (null last). Rows without words stay.
+
+    Of rows that repeat both id and text one stays. Columns keep their names and values, whatever they are called.
+    """
     rows, parts = similar_classes(docs, key, text, words, percent)
-    rows = rows.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    first = rows.where("cid is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")).alias("f")).select(F.col("f.k").alias("_k"))
-    marked = docs.withColumn("_k", F.xxhash64(key, text))
-    kept = marked.join(first, "_k", "left_semi").dropDuplicates(["_k"])
-    bare = rows.where("cid is null").select(F.col("k").alias("_k")).distinct()
-    return kept.unionByName(marked.join(bare, "_k", "left_semi")).select(*names)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")).alias("f")
+    heads = rows.where("cid is not null").groupBy("cid").agg(first).join(parts.withColumnRenamed("node", "cid"), "cid", "left")
+    chosen = heads.groupBy(F.coalesce("component", "cid").alias("component")).agg(F.min("f").alias("f")).select(F.col("f.k").alias("k"))
+    bare = rows.where("cid is null").select("k").distinct()
+    marked = docs.select(F.xxhash64(key, text).alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return marked.join(chosen.union(bare), "k", "left_semi").dropDuplicates(["k"]).select("row.*")
