@@ -11,20 +11,55 @@ from pyspark.sql import functions as F
 
 from tabsynth.features import category_lists, decode_categories, encode_categories
 from tabsynth.metrics import moment_matrices
+from tabsynth.ordered import running_sums
 from tabsynth.schema import CATEGORICAL, INDICATOR, NUMERICAL, infer_schema
+from tabsynth.session import written
 from tabsynth.tiles import blocks, tile_pairs
 
+#: Rows whose distinct values a median's or mode's buffer may hold.
+BUFFER_ROWS = 1_000_000
 
-def fill_values(df: DataFrame, cols: list[str], exact: bool = True) -> dict:
-    """Median of numerical and mode (least of ties) of other columns, in one pass; None where all is missing."""
+
+def fill_values(df: DataFrame, cols: list[str]) -> dict:
+    """Median of numerical and mode (least of ties) of other columns; None where all is missing.
+
+    Up to BUFFER_ROWS rows it is one pass whose buffers hold the distinct values; larger tables count the values in a shuffle and
+    find the middle ones by running sums. Both are exact.
+    """
     kinds = infer_schema(df)
-    number = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5))
     if not cols:
         return {}
-    row = df.agg(*[(number(c) if kinds[c] == NUMERICAL else F.mode(F.col(c), True)).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+    if df.count() > BUFFER_ROWS:
+        return _medians(df, [c for c in cols if kinds[c] == NUMERICAL]) | _modes(df, [c for c in cols if kinds[c] != NUMERICAL])
+    row = df.agg(*[(F.median(c) if kinds[c] == NUMERICAL else F.mode(F.col(c), True)).alias(f"v{i}") for i, c in enumerate(cols)]).first()
     return {c: row[f"v{i}"] for i, c in enumerate(cols)}
 
 
+def _value_counts(df: DataFrame, cols: list[str], kind: str) -> DataFrame:
+    """column (its place in cols), value and n of each distinct value."""
+    long = df.select(*[F.col(f"`{c}`").cast(kind).alias(f"v{i}") for i, c in enumerate(cols)]).unpivot([], [f"v{i}" for i in range(len(cols))], "column", "value")
+    return written(long.where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "values")
+
+
+def _medians(df: DataFrame, cols: list[str]) -> dict:
+    if not cols:
+        return {}
+    placed = running_sums(_value_counts(df, cols, "double"), ["column"], "value", {"upto": "n"}, totals={"all": "n"})
+    least = lambda k: F.min(F.when(F.col("upto") >= k, F.col("value")))
+    rows = placed.groupBy("column").agg(((least(F.floor((F.col("all") + 1) / 2)) + least(F.ceil((F.col("all") + 1) / 2))) / 2).alias("m")).collect()
+    found = {r["column"]: r["m"] for r in rows}
+    return {c: found.get(f"v{i}") for i, c in enumerate(cols)}
+
+
+def _modes(df: DataFrame, cols: list[str]) -> dict:
+    if not cols:
+        return {}
+    best = _value_counts(df, cols, "string").groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("b"))
+    found = {r["column"]: r["v"] for r in best.select("column", F.col("b.value").alias("v")).collect()}
+    typed = df.sparkSession.range(1).select(*[F.lit(found.get(f"v{i}")).cast(df.schema[c].dataType).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+    return {c: typed[f"v{i}"] for i, c in enumerate(cols)}
+
+
 def impute_simple(train: DataFrame, *others: DataFrame, keep: list[str] | None = None, missing: str | None = None) -> list[DataFrame]:
     """Median or mode of train. A text column without any value stays, or becomes `missing` if that is given."""
     cols = [c for c in train.columns if c not in (keep or [])]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabsynth.ordered import running_sums
 from tabsynth.schema import CATEGORICAL, NUMERICAL, nan_to_null, numeric_columns
+from tabsynth.session import written
 
 
 def _sides(real: DataFrame, synth: DataFrame, cols: list[str], kind: str) -> DataFrame:
@@ -27,9 +28,9 @@ def _sides(real: DataFrame, synth: DataFrame, cols: list[str], kind: str) -> Dat
 
 def ecdf_pair(real: DataFrame, synth: DataFrame, cols: list[str]) -> DataFrame:
     """column, value, real_cdf, synth_cdf, following (the next value) over the merged values of both sides."""
-    summed = running_sums(_sides(real, synth, cols, "double"), ["column"], "value", {"cr": "r", "cs": "s"}, "following")
-    totals = summed.groupBy("column").agg(F.max("cr").alias("nr"), F.max("cs").alias("ns"))
-    return summed.join(totals, "column").select("column", "value", F.try_divide("cr", "nr").alias("real_cdf"), F.try_divide("cs", "ns").alias("synth_cdf"), "following")
+    counts = written(_sides(real, synth, cols, "double"), "counts")
+    summed = running_sums(counts, ["column"], "value", {"cr": "r", "cs": "s"}, "following", {"nr": "r", "ns": "s"})
+    return summed.select("column", "value", F.try_divide("cr", "nr").alias("real_cdf"), F.try_divide("cs", "ns").alias("synth_cdf"), "following")
 
 
 def _ks(cdf: DataFrame) -> DataFrame:
@@ -180,7 +181,7 @@ def classification_scores(pred: DataFrame, by: list[str], label: str = "label",
 def roc_auc(pred: DataFrame, by: list[str], positive: str = "positive", score: str = "score") -> DataFrame:
     """by, roc_auc: from mid-ranks of the scores. positive: boolean. NULL with one class only."""
     counts = pred.groupBy(*by, F.col(score).cast("double").alias("_s")).agg(F.count_if(positive if isinstance(positive, Column) else F.col(positive)).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    summed = running_sums(counts, by, "_s", {"_cn": "_n"})
+    summed = running_sums(written(counts, "counts"), by, "_s", {"_cn": "_n"})
     rank = F.col("_cn") - (F.col("_n") - 1) / 2
     p, n = F.sum("_p"), F.sum(F.col("_n") - F.col("_p"))
     return summed.groupBy(*by).agg(F.try_divide(F.sum(F.col("_p") * rank) - p * (p + 1) / 2, (p * n).cast("double")).alias("roc_auc"))

@@ -1,57 +1,81 @@
 """Numbering and running sums in order, at any size.
 
 A window over a whole table puts it into one task. Here a grid of the order column's approximate quantiles cuts it
-into ranges; each range has its own window, and the ranges' totals, a small table, say where each begins.
+into ranges of some RANGE_ROWS rows; each range has its own window, and the ranges' totals, a small table, say where each begins.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a range, about; and ranges at most, which percentile_approx tells apart.
+RANGE_ROWS, MOST_RANGES = 200_000, 10_000
+
+
+def range_count(df: DataFrame) -> int:
+    """How many ranges a table of this size is cut into."""
+    return min(MOST_RANGES, max(1, math.ceil(df.count() / RANGE_ROWS)))
+
+
+def _values_below(grid: Column, value: Column, size: int) -> Column:
+    """How many values of a sorted grid lie below value: found in every step-th value first, then among the step that is left."""
+    step = math.isqrt(size) + 1
+    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.size(grid), F.lit(step)), lambda i: F.element_at(grid, i)), lambda q: q < value))
+    start = F.greatest(coarse - 1, F.lit(0)) * step
+    return start + F.size(F.filter(F.slice(grid, start + 1, step), lambda q: q < value))
+
 
 def range_number(df: DataFrame, by: list[str], order: str, ranges: int) -> DataFrame:
-    """df with _range: the number of grid values below order (null: 0). The grid's size is fixed, whatever the data's."""
+    """df with _range: the number of grid values below order (null: 0)."""
+    if ranges < 2:
+        return df.withColumn("_range", F.lit(0))
     grid = df.groupBy(*by).agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000).alias("_grid"))
-    above = F.size(F.filter("_grid", lambda q: q < F.col(order)))
     if by:
         joined = df.join(grid.withColumnsRenamed({c: f"_by_{c}" for c in by}), [df[c].eqNullSafe(F.col(f"_by_{c}")) for c in by], "left").drop(*[f"_by_{c}" for c in by])
     else:
         values = grid.first()["_grid"]
         joined = df.withColumn("_grid", F.lit(values) if values else F.lit(None).cast(f"array<{dict(df.dtypes)[order]}>"))
-    return joined.withColumn("_range", F.when(F.col("_grid").isNull() | F.col(order).isNull(), F.lit(0)).otherwise(above)).drop("_grid")
+    at = _values_below(F.col("_grid"), F.col(order), ranges)
+    return joined.withColumn("_range", F.when(F.col("_grid").isNull() | F.col(order).isNull(), F.lit(0)).otherwise(at)).drop("_grid")
 
 
-def running_sums(df: DataFrame, by: list[str], order: str, sums: dict[str, str], following: str | None = None, ranges: int = 64) -> DataFrame:
-    """df with, for each new column of sums, the sum of a column over the rows up to this one; following: the next order value.
+def running_sums(df: DataFrame, by: list[str], order: str, sums: dict[str, str], following: str | None = None, totals: dict[str, str] | None = None) -> DataFrame:
+    """df with, for each new column of sums, the sum of a column over the rows up to this one; following: the next order
+    value; totals: the whole sum of a column within by. df is read more than once: pass a written table.
 
     The order column must have no ties within by (aggregate by it first).
     """
-    cut = range_number(df, by, order, ranges)
-    totals = cut.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()], F.min(order).alias("_least"))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums], F.lead("_least").over(Window.partitionBy(*by).orderBy("_range")).alias("_next"))
+    cut, whole = range_number(df, by, order, range_count(df)), totals or {}
+    small = cut.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in (sums | whole).items()], F.min(order).alias("_least"))
+    each = Window.partitionBy(*by).orderBy("_range")
+    before, over_all = each.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    starts = small.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums], *[F.sum(f"_t_{n}").over(over_all).alias(f"_a_{n}") for n in whole], F.lead("_least").over(each).alias("_next"))
     within = Window.partitionBy(*by, "_range").orderBy(order)
     out = cut.withColumns({n: F.sum(c).over(within.rowsBetween(Window.unboundedPreceding, 0)) for n, c in sums.items()})
     if following:
         out = out.withColumn(following, F.lead(order).over(within))
     keys = {c: f"_k_{c}" for c in [*by, "_range"]}
     out = out.join(starts.withColumnsRenamed(keys), [out[c].eqNullSafe(F.col(k)) for c, k in keys.items()])
-    done = {n: F.col(n) + F.col(f"_b_{n}") for n in sums}
+    done = {n: F.col(n) + F.col(f"_b_{n}") for n in sums} | {n: F.col(f"_a_{n}") for n in whole}
     if following:
         done[following] = F.coalesce(following, "_next")
     return out.withColumns(done).select(*df.columns, *done)
 
 
-def number_within(df: DataFrame, by: list[str], order: list[str | Column], name: str = "rn", spread: str | Column | None = None, ranges: int = 64) -> DataFrame:
+def number_within(df: DataFrame, by: list[str], order: list[str | Column], name: str = "rn", spread: str | Column | None = None) -> DataFrame:
     """df with name: each row's place in its group, from 1, by order (nulls first, as it is given).
 
     spread: an integer column from 0 below 2^32 that order begins with, such as a hash. With it a group is cut into
-    ranges of equal width, so that a large group isn't numbered in one task.
+    ranges of equal width, so that a large group isn't numbered in one task. Without it each group is one task's work, and there must be groups.
     """
     if spread is None:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) if by else F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
-    cut = df.withColumn("_range", F.floor((F.col(spread) if isinstance(spread, str) else spread) * ranges / F.lit(2.0**32)).cast("int"))
+        if not by:
+            raise ValueError("a whole table is numbered by a spread column")
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    cut = df.withColumn("_range", F.floor((F.col(spread) if isinstance(spread, str) else spread) * range_count(df) / F.lit(2.0**32)).cast("int"))
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut.groupBy(*by, "_range").count().select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_range").alias("_k_range"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_from"))
     numbered = cut.withColumn(name, F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -25,12 +29,19 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g",
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own only where the session names none."""
+    """The folder that driver and executors share. In local mode one of its own is set where the session names none; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        import tempfile
-
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read from there: it is computed once and survives lost executors."""
+    spark = df.sparkSession
+    df.write.option("compression", "zstd").parquet(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return spark.read.schema(df.schema).parquet(path)
