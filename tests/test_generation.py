@@ -34,8 +34,10 @@ def test_smoothing_stays_in_range(spark, real):
     assert lo <= out[0] and out[1] <= hi + s["bandwidth"] and out[2] > 50
     fixed = spark.createDataFrame([(i, 5.0 if i % 10 else float(i)) for i in range(100)], "k long, a double")
     assert synth.smoothing(fixed, "a")["mode"] == 5.0
-    top = spark.createDataFrame([(i, float(i) if i < 50 else 1e5) for i in range(60)], "k long, a double")
+    top = spark.createDataFrame([(i, float(i) if i < 59 else 1e5) for i in range(60)], "k long, a double")
     assert synth.smoothing(top, "a")["top"] == 1e5
+    repeated = spark.createDataFrame([(i, float(i) if i < 58 else 1e5) for i in range(60)], "k long, a double")
+    assert synth.smoothing(repeated, "a")["top"] is None  # the second largest value is the largest again
     constant = synth.smoothing(spark.createDataFrame([(1, 2.0)], "k long, a double"), "a")
     assert constant["bandwidth"] is None
 
@@ -59,6 +61,18 @@ def test_generate_until(spark, real, tmp_path):
     assert set(gate.run_generators({"good": make, "bad": lambda *a: make(*a).limit(0)}, body, body, 500, META, auto_bounds(body), f"{tmp_path}/e", retries=1)) == {"good"}
 
 
+def test_an_empty_batch_ends_after_failures_of_either_kind(spark, real, tmp_path):
+    body, calls = real.drop("k"), []
+
+    def make(df, n, seed):  # four batches fail the gate, the next one is empty
+        calls.append(n)
+        return df.limit(0) if len(calls) == 5 else df.withColumn("a", F.col("a") + 1000)
+
+    with pytest.raises(RuntimeError):
+        gate.generate_until(make, body, body, 100, META, [], f"{tmp_path}/f", {"boundary_score": 0.99}, settings=gate.Settings(max_failed=12))
+    assert len(calls) == 5
+
+
 def test_model_metrics(spark, real):
     same = detect.propensity_score(real, real, META, ["k"]).first()[0]
     far = detect.propensity_score(real, real.withColumn("a", F.col("a") + 100), META, ["k"]).first()[0]

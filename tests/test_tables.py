@@ -55,6 +55,10 @@ def test_constraints(spark):
     assert keep("1 < c0 <= 3 and c2 != 'y'") == [3]
     assert keep("c2 in ['x', 'y']") == [1, 2] and keep("c2 not in ['x']") == [2, 3]
     assert keep("~(c0 == 1) | (c1 == 2)") == [1, 2, 3]
+    assert keep("c0 > 1 & c1 > 4") == [3] and keep("c0 > 2 | c1 < 3") == [1, 3] and keep("c2 == 'a & b' | c0 == 2") == [2]
+    zeros = spark.createDataFrame([(1, 0.0, 0.0), (2, 6.0, 2.0), (3, 1.0, 0.0), (4, float("nan"), 1.0)], "a int, x double, y double")
+    kept = lambda c: [r.a for r in expr.drop_violators(zeros, [c]).orderBy("a").collect()]
+    assert kept("c1 / c2 > 1") == [2, 3] and kept("c1 / c2 == c1 / c2") == [2, 3] and kept("c1 / c2 != 3") == [1, 3, 4] and kept("c1 < 100") == [1, 2, 3]
     assert keep("c0 ==", "exec('1')", "c7 > 1", "c0 > 1") == [2, 3]
     assert expr.auto_bounds(df) == ["c0 >= 1", "c0 <= 3", "c1 >= 2.0", "c1 <= 5.0"]
     assert expr.violation_rate(df, ["c1 > 1"]).first()[0] == pytest.approx(1 / 3)
@@ -223,3 +227,30 @@ def test_scores(spark):
     assert metrics.roc_auc(auc.where("positive"), ["g"]).first()["roc_auc"] is None
     r = report.summarize_regression(spark.createDataFrame([("d", "r", 1, 1.0, 1.0, 0.5, 2.0)], "Dataset string, Regressor string, Fold int, mae double, rmse double, r2 double, mape double"), ["Dataset", "Regressor"]).first()
     assert r.mae_mean == 1.0 and r.mae_std is None and r.folds == 1
+
+
+def test_medians_and_modes_of_large_tables(spark, monkeypatch):
+    rows = [(i, float(i * 7 % 31) if i % 4 else None, i % 5, "xyzz"[i % 4] if i % 3 else None, i % 2 == 0, None) for i in range(101)]
+    df = spark.createDataFrame(rows, "k long, a double, b int, s string, f boolean, gone double")
+    small = impute.fill_values(df, ["a", "b", "s", "f", "gone"])
+    monkeypatch.setattr(impute, "BUFFER_ROWS", 10)
+    assert impute.fill_values(df, ["a", "b", "s", "f", "gone"]) == small and small["gone"] is None
+    assert small["a"] == float(np.median([r[1] for r in rows if r[1] is not None]))
+
+
+def test_ranges_follow_the_number_of_rows(spark, monkeypatch):
+    from tabsynth import ordered
+
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 40)
+    df = spark.range(1000).selectExpr("id % 3 as g", "cast((id * 7919) % 1000 as double) as v", "1 as one", "abs(xxhash64(id)) % 4294967296 as h", "id").cache()
+    assert ordered.range_count(df) == 25
+    got = {(r.g, r.v): (r.n, r.nxt, r.all) for r in running_sums(df.where("v >= 0"), ["g"], "v", {"n": "one"}, "nxt", {"all": "one"}).collect()}
+    for g in range(3):
+        values = sorted(r.v for r in df.where(f"g = {g}").collect())
+        assert [got[g, v] for v in values] == [(i + 1, values[i + 1] if i + 1 < len(values) else None, len(values)) for i in range(len(values))]
+    one, two = (sorted(tuple(r) for r in number_within(df, ["g"], ["h", "id"], spread=s).collect()) for s in ("h", None))
+    assert one == two
+    with pytest.raises(ValueError):
+        number_within(df, [], ["h"])
+    rising = running_sums(df, ["g"], "v", {"n": "one"})
+    assert "SinglePartition" not in rising._jdf.queryExecution().executedPlan().toString()
