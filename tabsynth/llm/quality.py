@@ -1,12 +1,13 @@
 """Quality rules: base rules, and a hashed n-gram log-likelihood ratio between two multinomials.
 
-Trusted documents and the whole corpus each give a multinomial over hashed word uni- and bigrams, which is joined to the
-documents' n-grams. A document's score is the mean of log(trusted / corpus) over its n-grams. The threshold is derived from
-the trusted documents' own scores, so equal input gives equal verdicts. DataFrame functions only.
+Trusted documents and the whole corpus each give a multinomial over buckets of hashed word uni- and bigrams. A document's score is
+the mean of log(trusted / corpus) over its n-grams. The threshold is derived from the trusted documents' own
+scores, so equal input gives equal verdicts. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,11 @@ WINDOW = 8
 #: Of the trusted documents' scores, for the threshold.
 QUANTILE = 0.005
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
+#: Buckets of hashed n-grams: as many as there may be n-grams, within these bounds. So the table of counts that is broadcast has a proven bound.
+FEWEST_BUCKETS, MOST_BUCKETS = 1 << 14, 1 << 20
+#: Trusted documents that the trusted side counts at most: those whose keys have the smallest hashes. Their keys are broadcast.
+MAX_TRUSTED = 100_000
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def words(text: Column) -> Column:
@@ -58,51 +64,44 @@ def repeated_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def ngram_counts(hashes: Column) -> Column:
-    """h and tf of each distinct uni- and bigram of a text. hashes: of its words, lower-cased."""
+def ngram_buckets(found: Column, buckets: int) -> Column:
+    """Buckets of the uni- and bigrams of a text's words."""
 
     def grams(h: Column) -> Column:
+        one = F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
         pairs = F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0)))
-        return F.array_sort(F.concat(h, F.transform(pairs, lambda x, i: F.xxhash64(F.get(h, i), x))))
+        return F.concat(one, F.transform(pairs, lambda x, i: F.pmod(F.xxhash64(F.get(h, i), x), F.lit(buckets)).cast("int")))
 
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.transform(s, lambda x, i: F.when(~F.get(s, i - 1).eqNullSafe(x), i)), lambda i: i.isNotNull())
-        return let(starts, lambda a: F.transform(a, lambda i, n: F.struct(F.get(s, i).alias("h"), (F.coalesce(F.get(a, n + 1), F.size(s)) - i).alias("tf"))))
+    return let(F.transform(found, lambda w: F.xxhash64(F.lower(w))), grams)
 
-    return let(let(hashes, grams), runs)
 
+def scored_texts(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", prior: float = 1.0, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+    """k, x (hash of the text), t (1: trusted), the base rules' figures, n_grams and score (mean log ratio) of each key and text.
 
-def ngrams(docs: DataFrame, trusted: DataFrame, key: str, text: str) -> DataFrame:
-    """k, x (hash of the text), t (1: trusted), h and tf of each distinct n-gram of each row."""
-    keys = trusted.select(F.col(key).alias("k")).where("k is not null").distinct().withColumn("t", F.lit(1))
-    marked = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("x"), F.col(text).alias("_text")).join(keys, "k", "left")
-    hashes = F.transform(words(F.col("_text")), lambda w: F.xxhash64(F.lower(w)))
-    return marked.select("k", "x", F.coalesce("t", F.lit(0)).alias("t"), F.inline(ngram_counts(hashes)))
-
-
-def ratio_scores(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", prior: float = 1.0) -> DataFrame:
-    """k, x, t, n_grams and score (mean log ratio of trusted to corpus) of each key and text with a word.
-
-    All documents and all trusted documents count, and each distinct n-gram has a count of its own (64-bit hashes), however many
-    there are. A row's own counts are taken out before it is scored, so trusted documents score like others of their
-    kind. prior is added to the trusted count and to the one expected: with little evidence the ratio is near 1.
+    All documents count. Each n-gram is scored by the counts without itself, so trusted documents score like others of their kind. prior is
+    added to the trusted count and to the one expected: with little evidence the ratio is near 1. Texts are never shuffled.
     """
-    rows = ngrams(docs, trusted, key, text)
-    counts = written(rows.groupBy("h").agg(F.sum(F.col("tf") * F.col("t")).alias("in_t"), F.sum("tf").alias("in_n")).where("in_n > 1"), "ngrams")
-    size = F.greatest(2 * F.size(words(F.col(text))) - 1, F.lit(0))
-    total = docs.select(F.col(key).alias("k"), size.alias("n")).join(trusted.select(F.col(key).alias("k")).distinct(), "k", "left_semi").agg(F.sum("n")).first()[0] or 0
-    share = total / max(docs.agg(F.sum(size)).first()[0] or 0, 1)
-    found = F.coalesce(F.col("in_t") - F.col("tf") * F.col("t"), F.lit(0))
-    expected = F.coalesce(F.col("in_n") - F.col("tf"), F.lit(0)) * share
-    # summed as whole millionths, so that the order of rows doesn't matter
-    ratio = F.round(F.log((found + prior) / (expected + prior)) * 1e6).cast("long")
-    scored = rows.join(counts, "h", "left").groupBy("k", "x", "t").agg(F.sum("tf").alias("n_grams"), (F.sum(F.col("tf") * ratio) / F.sum("tf") / 1e6).alias("score"))
-    return written(scored, "scores")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 1
+    buckets = min(MOST_BUCKETS, max(FEWEST_BUCKETS, 1 << math.ceil(math.log2(size / 4 + 1))))
+    keys = trusted.select(F.col(key).alias("k")).where("k is not null").distinct().orderBy(F.xxhash64("k"), "k").limit(max_trusted).withColumn("t", F.lit(1))
+    marked = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(keys), "k", "left").select("k", "text", F.coalesce("t", F.lit(0)).alias("t"))
+    grams = marked.select("t", F.explode(ngram_buckets(words(F.col("text")), buckets)).alias("b"))
+    counts = written(grams.groupBy("b").agg(F.sum("t").alias("in_t"), F.count(F.lit(1)).alias("in_n")), "buckets")
+    sums = counts.agg(F.sum("in_t").alias("t"), F.sum("in_n").alias("n")).first()
+    share = (sums["t"] or 0) / max(sums["n"] or 0, 1)
+    # in whole millionths, so that the order of rows doesn't matter when they are summed
+    ratio = lambda own: F.round(F.log((F.col("in_t") - own + prior) / ((F.col("in_n") - 1) * share + prior)) * 1e6).cast("long")
+    ratios = written(counts.select("b", ratio(0).alias("r0"), F.when(F.col("in_t") > 0, ratio(1)).alias("r1")), "ratios")
+    cut = marked.select("k", "t", F.xxhash64("text").alias("x"), "text", words(F.col("text")).alias("found"))  # a step of its own, so that texts are split once
+    figures = cut.select("k", "x", "t", *[c.alias(n) for n, c in base_rules(F.col("text"), F.col("found")).items()], ngram_buckets(F.col("found"), buckets).alias("grams"))
+    each = figures.select("k", "x", "t", *BASE, F.explode_outer("grams").alias("b"))  # figures are worked out once for each text, below the generator
+    scored = each.join(F.broadcast(ratios), "b", "left").groupBy("k", "x", "t", *BASE)
+    return written(scored.agg(F.count("b").alias("n_grams"), F.coalesce(F.avg(F.when(F.col("t") == 1, F.col("r1")).otherwise(F.col("r0"))) / 1e6, F.lit(0.0)).alias("score")), "scores")
 
 
 def trusted_threshold(scores: DataFrame) -> float:
-    """The low quantile of the scores of all trusted documents with enough words, less a quarter of its distance to the median."""
-    known = scores.where((F.col("t") == 1) & (F.col("n_grams") >= 2 * MIN_WORDS - 1))
+    """The low quantile of the scores of the trusted documents with enough words, less a quarter of its distance to the median."""
+    known = scores.where((F.col("t") == 1) & (F.col("n_words") >= MIN_WORDS))
     q = known.agg(F.percentile(F.round("score", 3), F.array(F.lit(QUANTILE), F.lit(0.5)))).first()[0]  # rounded: few distinct values
     return q[0] - (q[1] - q[0]) / 4 if q else 0.0
 
@@ -124,14 +123,13 @@ def quality_verdicts(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", t
 
     A document is kept if it passes the base rules and its score is at least the threshold (None: trusted_threshold). Null and
     empty texts have no words and fail the base rules. Repeated rows get equal verdicts, whatever the order. Without trusted
-    documents every score is 0. Columns of these names in docs are replaced; trusted may have any others.
+    documents every score is 0. Columns of these names in docs are replaced, all others stay, whatever they are called; trusted may have any others.
     """
-    scores = ratio_scores(docs, trusted, key, text)
+    scores = scored_texts(docs, trusted, key, text)
     threshold = trusted_threshold(scores) if threshold is None else threshold
-    cut = docs.withColumn("_words", words(F.col(text)))  # a step of its own, so that texts are split once
-    ruled = cut.withColumns(base_rules(F.col(text), F.col("_words")) | {"_x": F.xxhash64(text)}).drop("_words", "score")
-    right = scores.select(F.col("k").alias("_k"), F.col("x").alias("_y"), F.col("score").alias("_score"))
-    out = ruled.join(right, ruled[key].eqNullSafe(right["_k"]) & (ruled["_x"] == right["_y"]), "left")
-    out = out.withColumn("score", F.coalesce("_score", F.lit(0.0))).drop("_k", "_x", "_y", "_score")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    verdicts = scores.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+    found = verdicts.select(F.col("k").alias("right_k"), F.col("x").alias("right_x"), *(added := [*BASE, "score", "base_failed", "kept"]))
+    rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("x"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = rows.join(found, rows["k"].eqNullSafe(found["right_k"]) & (rows["x"] == found["right_x"]))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added], *added)
