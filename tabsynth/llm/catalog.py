@@ -19,7 +19,7 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabsynth.llm.linededup import drop_repeated_units
 
-    cleaned = drop_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = drop_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"), unit="clause")
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), " ")
     return cleaned.select("doc_id", "text", "n_removed", spans.alias("removed"))
 

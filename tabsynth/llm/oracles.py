@@ -13,12 +13,19 @@ f as (select *, min(page_id) over (partition by hex) as first from d)
 select page_id, octet_length(encode(body))::bigint as payload_bytes, digest as payload_digest,
   case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id != first then first end as refers_to from f"""
 
-OP2 = f"""with l as (select doc_id, text, string_split(text, chr(10)) as parts from documents),
-u as (select doc_id, unnest(parts) as part, unnest(range(len(parts))) as n, unnest(list_transform(range(len(parts)), lambda i: (coalesce(list_sum(list_transform(parts[1:i], lambda x: length(x) + 1)), 0))::bigint)) as start from l),
-k as (select *, start + length(part) as stop, trim(regexp_replace({LOWER.format('part')}, '{SPACE}', ' ', 'g')) as norm, len(regexp_extract_all(part, '[^\\x20\\x09-\\x0D]+')) as words from u),
-r as (select *, words >= 4 and row_number() over (partition by case when words >= 4 then norm end, words >= 4 order by doc_id, n) > 1 as gone from k),
-a as (select doc_id, array_to_string(list(part order by n) filter (not gone), chr(10)) as clean, count(*) filter (gone) as n_removed, array_to_string(list(start || ':' || stop order by n) filter (gone), ' ') as removed from r group by 1)
-select l.doc_id, case when text is null then null else coalesce(clean, '') end as text, coalesce(n_removed, 0)::bigint as n_removed, coalesce(removed, '') as removed from l left join a using (doc_id)"""
+# units end at . ! ? , ; : before white space or at a line's end; chr(30) marks the cuts
+OP2 = f"""with l as (select doc_id, text, string_split(regexp_replace(coalesce(text, ''), '([.!?,;:]{SPACE}|\\n[\\x20\\x09-\\x0D]*)', '\\1' || chr(30), 'g'), chr(30)) as parts from documents),
+u as (select doc_id, unnest(parts) as part, unnest(range(len(parts))) as n from l),
+k as (select *, sum(length(part)) over (partition by doc_id order by n) as stop, trim(regexp_replace({LOWER.format('part')}, '{SPACE}', ' ', 'g')) as norm, len(regexp_extract_all(part, '[^\\x20\\x09-\\x0D]+')) as words from u where part != ''),
+w as (select *, list(norm) over near as norms, list(words) over near as sizes, least(row_number() over (partition by doc_id order by n), 8) as i from k where words > 0 window near as (partition by doc_id order by n rows between 7 preceding and 7 following)),
+j as (select *, coalesce(list_max(list_filter(range(1, i + 1), lambda x: list_sum(sizes[x:i]) >= 8)), 1) as j from w),
+m as (select *, coalesce(list_min(list_filter(range(i, len(sizes) + 1), lambda x: list_sum(sizes[j:x]) >= 8)), len(sizes)) as m from j),
+r as (select doc_id, n, row_number() over (partition by case when words >= 8 then norm else (i - j) || chr(10) || array_to_string(norms[j:m], chr(10)) end order by doc_id, n) > 1 as gone from m),
+f as (select k.doc_id, k.n, part, stop, coalesce(gone, false) as gone, k.n = max(k.n) over (partition by k.doc_id) as last from k left join r on k.doc_id = r.doc_id and k.n = r.n),
+a as (select doc_id, coalesce(string_agg(part, '' order by n) filter (not gone), '') as clean, bool_or(gone and last) as cut, count(*) filter (gone) as n_removed,
+  coalesce(string_agg((stop - length(part))::bigint || ':' || stop::bigint, ' ' order by n) filter (gone), '') as removed from f group by 1)
+select l.doc_id, case when text is null then null when cut then regexp_replace(clean, '{SPACE}$', '') else coalesce(clean, '') end as text,
+  coalesce(n_removed, 0)::bigint as n_removed, coalesce(removed, '') as removed from l left join a using (doc_id)"""
 
 COMPONENTS = """reach(a, b) as (select a, b from link union select r.a, l.b from reach r join link l on r.b = l.a)"""
 

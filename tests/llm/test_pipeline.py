@@ -2,6 +2,7 @@ import pandas as pd
 
 import corpus_pipeline
 from tabsynth.llm.jaccard import jaccard_components
+from tabsynth.llm.linededup import ENDS
 from tests.llm.test_jaccard import brute as components
 from tests.llm.test_linededup import brute as lines
 
@@ -22,7 +23,7 @@ def test_stages_at_the_smallest_scale(spark):
     one = corpus_pipeline.near_duplicates(spark, kept, sf).cache()
     assert {r.doc_id for r in one.collect()} == {c for _, _, c in want}
     cleaned = corpus_pipeline.repeated_passages(spark, one, sf).cache()
-    left = {d: x for (d, _), x in lines([(r.doc_id, r.text) for r in one.collect()]).items() if x and x.split()}
+    left = {d: x for (d, _), x in lines([(r.doc_id, r.text) for r in one.collect()], ENDS["clause"], 8).items() if x and x.split()}
     assert {r.doc_id: r.text for r in cleaned.collect()} == left
     assert cleaned.columns == corpus_pipeline.COLUMNS
     packed = pd.DataFrame([r.asDict() for r in corpus_pipeline.packing(spark, cleaned, sf).collect()])
