@@ -27,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that an earlier ranked document, or the document itself, has before. Texts left without a word go."""
-    cleaned = drop_repeated_units(docs).where(F.col("text").rlike(WORD))
+    """Removes clauses that an earlier ranked document, or the document itself, has before. Texts left without a word go."""
+    cleaned = drop_repeated_units(docs, unit="clause").where(F.col("text").rlike(WORD))
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
