@@ -44,4 +44,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read from there: it is computed once and survives lost executors."""
     spark = df.sparkSession
     df.write.option("compression", "zstd").parquet(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
