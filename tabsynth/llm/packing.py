@@ -92,7 +92,6 @@ def cut_documents(docs: DataFrame, tokenizer: str, room: int = 4096, end_id: int
                 cols = [part.column(0).take(pa.array(rows, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * keep_ids, names + ["ids"] * keep_ids)
-        word_ids(tokenizer).forget()
 
     return docs.select(key, text).mapInArrow(run, schema)
 
@@ -102,8 +101,8 @@ def pack_lengths(pieces: DataFrame, room: int = 4096, group_rows: int = 20_000,
 
     certified: the sequence belongs to a group whose count of sequences equals its lower bound. A piece of length
     room is a sequence of its own, with a negative id. A group holds some group_rows pieces, so neither its memory nor its
-    time grows with the input; groups are dealt by a hash of the row, so no key can fill one. pieces is read more
-    than once: pass a written table. Column names sequence_id, offset, certified, _g, _r are taken.
+    time grows with the input; groups are dealt by a hash of the row and of its place in the input, so rows that are equal spread over all of
+    them. pieces is read more than once: pass a written table. Column names sequence_id, offset, certified, _g, _r are taken.
     """
     spark = pieces.sparkSession
     full = pieces.where(F.col("length") == room).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "certified": F.lit(True)})
@@ -112,7 +111,7 @@ def pack_lengths(pieces: DataFrame, room: int = 4096, group_rows: int = 20_000,
     if not count:
         return full
     groups = max(math.ceil(count / group_rows), min(2 * shuffle_partitions(spark), math.ceil(count / (group_rows // 10))))
-    open_ = rest.withColumns({"_g": F.pmod(F.xxhash64(*rest.columns), F.lit(groups)), "sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long"), "certified": F.lit(False), "_r": F.lit(False)})
+    open_ = rest.withColumns({"_g": F.pmod(F.xxhash64(*rest.columns, F.monotonically_increasing_id()), F.lit(groups)), "sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long"), "certified": F.lit(False), "_r": F.lit(False)})
     closed = []
     for turn in range(rounds + 1):
         tried = written(open_.groupBy("_g").applyInPandas(_packer(room, turn), open_.schema), "packed")

@@ -6,12 +6,13 @@ repeat far more often than texts, so only new words reach the tokenizer, many in
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from array import array
 
-#: Entries that a worker keeps at most; further words are encoded whenever they come.
-MAX_WORDS, MAX_PIECES = 300_000, 200_000
+#: Entries that a worker keeps at most, from one task to the next. Frequent words come early, so the first ones stay.
+MAX_WORDS, MAX_PIECES = 500_000, 300_000
 #: Words that the pattern below splits as the tokenizer does: its own normalising changes only their case.
 PLAIN = re.compile("[!-~À-įı-ɏ]+")
 JOINED = 512
@@ -39,10 +40,11 @@ class WordIds:
 
     def _new_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         out = {}
-        for at in range(0, len(pieces), JOINED):
-            some = pieces[at : at + JOINED]
-            ids, found, one = self._encode(" ".join(some)), [], array("I")
-            for i in ids:
+        parts = [pieces[at : at + JOINED] for at in range(0, len(pieces), JOINED)]
+        # offsets aren't wanted, and leaving them out is faster
+        for some, coded in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            found, one = [], array("I")
+            for i in coded.ids:
                 one.append(i)
                 if i in self.ends:
                     found.append(one.tobytes())
@@ -61,7 +63,7 @@ class WordIds:
             elif w[-1:] in (b".", b",") and w[:-1].isalpha():
                 split[w] = [s[:-1], s[-1]]
             elif PLAIN.fullmatch(s):
-                split[w] = self.split(s.lower())
+                split[w] = [s.lower()] if s.isalpha() else self.split(s.lower())
             else:
                 out[w] = array("I", self._encode(s)).tobytes()
         fresh = list({p for ps in split.values() for p in ps if p not in self.pieces})
@@ -70,8 +72,7 @@ class WordIds:
         for w, ps in split.items():
             out[w] = b"".join([known[p] if p in known else got[p] for p in ps])
         room = MAX_PIECES - len(known)
-        if room > 0:
-            known.update((p, got[p]) for p in fresh[:room])
+        known.update((p, got[p]) for p in fresh[: max(room, 0)])
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -82,24 +83,13 @@ class WordIds:
         if not missing:
             return [b"".join(map(known.__getitem__, ws)) for ws in split]
         new = self._new_words(missing)
-        room = MAX_WORDS - len(known)
-        if room >= len(new):
+        if len(known) + len(new) <= MAX_WORDS:
             known.update(new)
             return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        known.update(itertools.islice(new.items(), max(0, MAX_WORDS - len(known))))
         return [b"".join([known[w] if w in known else new[w] for w in ws]) for ws in split]
 
 
-    def forget(self) -> None:
-        """Gives memory back when a task ends: an idle worker holds little, and the next task's words come anew."""
-        import ctypes
-
-        self.words.clear()
-        self.pieces.clear()
-        self.tokenizer.model._clear_cache()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
-
-
 _made: dict[str, WordIds] = {}
 
 

@@ -88,3 +88,19 @@ def test_rounds_save_sequences(spark):
     assert len(got) == 3000 and check(got, 256) <= check(alone, 256)
     bound = packing.lower_bound(np.array([r.length for r in got]), 256)
     assert bound <= check(got, 256) <= 1.05 * bound
+
+
+def test_equal_rows_spread_over_groups(spark):
+    pieces = spark.range(50_000).selectExpr("7L doc_id", "0 piece", "100L length", "0L ids_crc32")
+    packed = packing.pack_lengths(pieces, room=256, group_rows=1000, rounds=0)
+    groups = packed.groupBy((F.col("sequence_id").bitwiseAND((1 << 58) - 1) / (1 << 24)).cast("long")).count().collect()
+    assert packed.count() == 50_000 and len(groups) >= 40 and max(r["count"] for r in groups) < 2000
+
+
+def test_small_caches_give_the_same_ids(monkeypatch):
+    texts = [" ".join(f"w{i}x{j}" for i in range(40)) for j in range(30)]
+    want = wordbpe.WordIds(PATH).encode(texts)
+    monkeypatch.setattr(wordbpe, "MAX_WORDS", 50)
+    monkeypatch.setattr(wordbpe, "MAX_PIECES", 60)
+    small = wordbpe.WordIds(PATH)
+    assert [small.encode([t])[0] for t in texts] == want and small.encode(texts) == want and len(small.words) <= 50
