@@ -70,3 +70,25 @@ def test_recall(spark, monkeypatch):
     want = brute(rows)
     assert sum(n for _, n, _ in got) >= 0.97 * sum(n for _, n, _ in want) and len(got & want) >= 0.97 * len(want)
     assert {(r.vec_id, r.n_links, r.component_id) for r in nv.near_duplicates(df, probes=99, list_rows=60).collect()} == want
+
+
+def test_exact_mode_and_unequal_lengths(spark, monkeypatch):
+    monkeypatch.setattr(nv, "HOME_BLOCK", 70)
+    rnd = np.random.default_rng(2)
+    rows = []
+    for dim, n in ((16, 400), (5, 120), (3, 1)):
+        centre = rnd.normal(size=(n, dim))
+        x = np.concatenate([centre, centre[: n // 2] + rnd.normal(size=(n // 2, dim)) * 0.3]).astype(np.float32)
+        rows += [(len(rows) + i, v.tolist(), int(i % 2)) for i, v in enumerate(x)]
+    rows += [(10_000, [1.0, 0.0], 0), (10_001, [2.0, 0.0], 0), (10_002, [1.0, 0.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = [(r.vec_id, r.n_links, r.component_id) for r in nv.near_duplicates(df, probes=1, list_rows=40, exact=True).collect()]
+    by_length = {d: [r for r in rows if len(r[1]) == d] for d in {len(r[1]) for r in rows}}
+    assert set(got) == set().union(*(brute(part) for part in by_length.values())) and len(got) == len(rows)
+
+
+def test_clashing_columns(spark):
+    names = ["cid", "h1", "x", "copies", "dim", "list", "component", "n"]
+    rows = [(i, [1.0, i / 1000], 1, *range(8)) for i in range(5)]
+    df = spark.createDataFrame(rows, ", ".join(["vec_id long", "embedding array<double>", "label int", *(f"{n} int" for n in names)]))
+    assert {(r.n_links, r.component_id) for r in nv.near_duplicates(df).collect()} == {(4, 0)}
