@@ -166,13 +166,15 @@ def merge_runs(index: DataFrame, range_rows: int = 100_000) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        by_run: dict[str, list[dict]] = {}
+        slices, last = [], None  # blocks of the exchange come one after another: a run's slice ends where the order falls back
         for batch in batches:
             for row in batch.to_pylist():
-                by_run.setdefault(row["file"], []).append(row)
-        for run in by_run.values():  # slices of a run may come from several blocks; a sorted one costs one pass
-            run.sort(key=_sort_key)
-        out = list(LoserTree(list(by_run.values()), _sort_key))
+                here = _sort_key(row)
+                if last is None or here < last:
+                    slices.append([])
+                slices[-1].append(row)
+                last = here
+        out = list(LoserTree(slices, _sort_key))
         for at in range(0, len(out), 10_000):
             some = pa.RecordBatch.from_pylist(out[at : at + 10_000], schema=kinds)
             n = len(some)
