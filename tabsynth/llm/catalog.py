@@ -86,4 +86,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": oracles.OP1, "op2_line_dedup": oracles.OP2, "op6_jaccard_join": oracles.OP6, "op7_vector_near_dedup": oracles.OP7}
+    return {"op1_warc_index": oracles.OP1, "op2_line_dedup": oracles.OP2, "op6_jaccard_join": oracles.OP6, "op7_vector_near_dedup": oracles.OP7, "op10_sharding": oracles.OP10}

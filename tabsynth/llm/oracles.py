@@ -43,3 +43,16 @@ link as (select x.vec_id as a, y.vec_id as b from u x join u y on x.label = y.la
 {COMPONENTS},
 m as (select vec_id, (select count(*) from link where a = vec_id) as n, least(vec_id, coalesce((select min(b) from reach where a = vec_id), vec_id)) as c from embeddings)
 select vec_id, n::bigint as n_links, c::bigint as component_id, vec_id = c as kept from m"""
+
+# a CRC is folded over the bytes by its table, which follows from the polynomial (fixed: IEEE 802.3)
+CRC_TABLE = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda c, _: xor(c >> 1, (c & 1) * 3988292384)))"
+
+OP10 = f"""with recursive d as (select doc_id, coalesce(text, '') as x, md5(doc_id::varchar) as m, hex(encode(coalesce(text, ''))) as h from documents),
+j as (select doc_id, n, ('0x' || substr(m, 1, 15))::ubigint::uhugeint as k, -1::bigint as was, 0::bigint as ahead from d, (values (16), (17)) v(n)
+  union all select doc_id, n, k, ahead, floor((ahead + 1) * (2147483648::double / ((k // 8589934592)::double + 1)))::bigint
+  from (select doc_id, n, ahead, (k * 2862933555777941757::uhugeint + 1::uhugeint) % 18446744073709551616::uhugeint as k from j where ahead < n)),
+s as (select doc_id, (max(was) filter (n = 16))::int as shard, (max(was) filter (n = 17))::int as grown_shard from j where ahead >= n group by 1),
+t as (select {CRC_TABLE} as crc),
+c as (select doc_id, (octet_length(encode(x)) + 1)::bigint as size, m,
+  xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::int, 2))::bigint)), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) as text_crc32 from d, t)
+select c.doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by ('0x' || substr(m, 17, 8))::bigint, c.doc_id) - 1 as slot, grown_shard from c join s using (doc_id)"""
