@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsynth.session import shared_dir, written  # noqa: F401 - others take it from here
+from tabsynth.session import forget, shared_dir, written  # noqa: F401 - others take it from here
 
 #: A word, in the text's own terms: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsynth.llm.common import written
+from tabsynth.llm.common import forget, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         # each node hangs on the least of its lower neighbours, and so do those
         small = large.join(root, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo").where("hi != lo").distinct()
-        now = written(small, "edges")
+        last, now = now, written(small, "edges")
+        forget(last)
         before, state = state, _state(now)
         if state == before:
             break

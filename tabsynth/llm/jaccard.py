@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsynth.llm.common import shuffle_partitions, written
+from tabsynth.llm.common import forget, shuffle_partitions, written
 from tabsynth.llm.components import connected_components
 
 WORDS = 5
@@ -323,7 +323,7 @@ def compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, p
     partners is dealt to several groups, so none is fuller than others.
     """
     spark = pairs.sparkSession
-    counts = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / 500).cast("int").alias("parts"))
+    counts = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / 100).cast("int").alias("parts"))
     dealt = pairs.join(counts, "a").withColumn("g0", F.xxhash64("a", F.pmod(F.xxhash64("b"), "parts")))
     sized = dealt.select("g0", "a", "b")
     need_ = sized.select("g0", F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "k", "n"), "cid")
@@ -462,19 +462,23 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     sets = written(set_prefixes(keyed, order, words, percent), "sets")
     reps = sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("k", "rare", "least", "tally")).alias("r"))
     classes = written(reps.select("d1", "d2", "n", "r.*", F.monotonically_increasing_id().alias("cid")), "classes")
-    rows = sets.select("k", "doc_id", "n", "d1", "d2").join(classes.select("d1", "d2", "n", "cid"), ["d1", "d2", "n"], "left").select("k", "doc_id", "n", "cid")
+    rows = written(sets.select("k", "doc_id", "n", "d1", "d2").join(classes.select("d1", "d2", "n", "cid"), ["d1", "d2", "n"], "left").select("k", "doc_id", "n", "cid"), "rows")
     answers = written(compare(hub_pairs(classes), classes, keyed, words, percent), "answers")
-    derived = derived_links(answers, classes, percent)
+    derived = written(derived_links(answers, classes, percent), "derived")
     covered = answers.where("gone is not null").select("a", "b")
     hubs = covered.select(F.col("b").alias("cid"), F.col("a").alias("hub")).union(covered.select("a", "a")).groupBy("cid").agg(F.collect_set("hub").alias("hubs"))
     own = sets.select("k", "prefix").join(classes.select("k", "cid", "n"), "k").dropDuplicates(["cid"]).join(hubs, "cid", "left")
     postings = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     buckets = max(shuffle_partitions(spark), math.ceil(postings / BUCKET_POSTINGS))
     found = bucketed(own, buckets).groupBy("bucket").applyInPandas(lambda r: list_pairs(r, percent), "a long, b long")
-    pairs = written(possible(written(found.distinct(), "lists"), classes, percent), "pairs")
-    rest = compare(pairs, classes, keyed, words, percent)
-    links = answers.where("linked").select("a", "b").union(derived).union(rest.where("linked").select("a", "b"))
-    return rows, written(connected_components(links), "parts")
+    lists = written(found.distinct(), "lists")
+    forget(sets)
+    pairs = written(possible(lists, classes, percent), "pairs")
+    rest = written(compare(pairs, classes, keyed, words, percent).where("linked").select("a", "b"), "rest")
+    links = answers.where("linked").select("a", "b").union(derived).union(rest)
+    parts = written(connected_components(links), "parts")
+    forget(classes, answers, derived, lists, pairs, rest)
+    return rows, parts
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 80) -> DataFrame:

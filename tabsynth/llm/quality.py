@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsynth.llm.common import WORD, written
+from tabsynth.llm.common import WORD, forget, written
 
 #: Fixed value: the symbols that count.
 SYMBOLS = "[#*$%&|<>]"
@@ -96,7 +96,9 @@ def scored_texts(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
     figures = cut.select("k", "x", "t", *[c.alias(n) for n, c in base_rules(F.col("text"), F.col("found")).items()], ngram_buckets(F.col("found"), buckets).alias("grams"))
     each = figures.select("k", "x", "t", *BASE, F.explode_outer("grams").alias("b"))  # figures are worked out once for each text, below the generator
     scored = each.join(F.broadcast(ratios), "b", "left").groupBy("k", "x", "t", *BASE)
-    return written(scored.agg(F.count("b").alias("n_grams"), F.coalesce(F.avg(F.when(F.col("t") == 1, F.col("r1")).otherwise(F.col("r0"))) / 1e6, F.lit(0.0)).alias("score")), "scores")
+    out = written(scored.agg(F.count("b").alias("n_grams"), F.coalesce(F.avg(F.when(F.col("t") == 1, F.col("r1")).otherwise(F.col("r0"))) / 1e6, F.lit(0.0)).alias("score")), "scores")
+    forget(counts, ratios)
+    return out
 
 
 def trusted_threshold(scores: DataFrame) -> float:

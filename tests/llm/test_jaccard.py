@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tabsynth.llm import jaccard as jc
 
 
@@ -65,3 +67,37 @@ def test_keep_one(spark):
     got = sorted((tuple(r) for r in jc.keep_one_of_each(docs).collect()), key=str)
     assert got == sorted([(2, "A b c d e f", 1), (9, "q", 1), (5, None, 1), (6, "", 1)], key=str)
     assert jc.keep_one_of_each(docs.limit(0)).count() == 0 and jc.jaccard_components(docs.limit(0)).count() == 0
+
+
+def test_blocks_of_a_long_list_lose_no_pair(monkeypatch):
+    monkeypatch.setattr(jc, "BLOCK", 4)
+    rnd = np.random.default_rng(4)
+    for _ in range(20):
+        n = np.sort(rnd.integers(1, 300, 120))
+        place = (rnd.random(120) * (n - jc.need(n, 80) + 1)).astype(np.int64)
+        got = {(int(i), int(j)) for a, b in jc.block_pairs(n, place, 80) for i, j in zip(a, b, strict=True)}
+        a, b = np.triu_indices(120, 1)
+        ok = jc.fits(n[a], place[a], n[b], place[b], 80)
+        assert got == set(zip(a[ok].tolist(), b[ok].tolist(), strict=True))
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(jc, "TILE", 16)  # tiles of blocks, not one for a hub
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefg") for _ in range(5))
+    hot, rows = [word() for _ in range(120)], []
+    for i in range(400):
+        w = list(rows[rnd.randrange(len(rows))][1].split() if i and rnd.random() < 0.3 else hot)
+        for _ in range(rnd.choice([0, 1, 2, 3, 4, 5, 6])):
+            w[rnd.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, hot_ * n) for i, (hot_, n) in enumerate([("x ", 50_000), ("x ", 49_000), ("a" * 9000 + " ", 1), ("a" * 9001 + " ", 1), ("a" * 9000 + " ", 1)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jc.jaccard_components(docs).collect()), key=str)
+    assert got == brute(rows) and len({c for _, _, c in got}) > 5
+
+
+def test_columns_of_any_name(spark):
+    names = ["k", "_k", "cid", "n", "row", "component", "f", "hub"]
+    docs = spark.createDataFrame([(i, "a b c d e f", *range(8)) for i in range(3)], ", ".join(["doc_id long", "text string", *(f"`{n}` int" for n in names)]))
+    assert [tuple(r) for r in jc.keep_one_of_each(docs).collect()] == [(0, "a b c d e f", *range(8))]

@@ -1,7 +1,9 @@
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tabsynth.llm import quality
@@ -57,3 +59,31 @@ def test_junk_is_caught_at_two_sizes(spark):
         rows = verdicts.where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.count_if("kept").alias("kept"), F.count("*").alias("n")).collect()
         got = {r.quality: (r.kept, r.n) for r in rows}
         assert got[0][0] <= most * got[0][1] and got[1][0] >= 0.98 * got[1][1]
+
+
+def test_scores_and_verdicts_equal_brute_force(spark):
+    rnd = random.Random(8)
+    pool = [f"w{i}" for i in range(80)] + ["É", "Straße", "W1"]
+    rows = [(i, " ".join(rnd.choice(pool[i % 3 * 20 :]) for _ in range(rnd.choice([0, 5, 25, 40]))), 1) for i in range(60)] + [(90, "spam " * 30, 2), (91, None, 3)]
+    rows += [(100 + i, " ".join(f"junk{rnd.randrange(9)}" for _ in range(30)), 4) for i in range(12)]
+    names = ["_words", "found", "grams", "x", "t", "right_k", "row"]
+    docs = spark.createDataFrame([(*r[:2], *range(7)) for r in rows], ", ".join(["doc_id long", "text string", *(f"{n} int" for n in names)]))
+    trusted = set(range(0, 60, 4))
+    got = quality.quality_verdicts(docs, spark.createDataFrame([(i, 1) for i in trusted], "doc_id long, k int")).collect()
+    words = {i: (x or "").split() for i, x, *_ in rows}
+    known = sorted({w for ws in words.values() for w in ws})
+    h = {r.w: r.h for r in spark.createDataFrame([(w,) for w in known], "w string").select("w", F.xxhash64(F.lower("w")).alias("h")).collect()}
+    pairs = sorted({(h[a], h[b]) for ws in words.values() for a, b in zip(ws, ws[1:], strict=False)})
+    hp = {(r.a, r.b): r.h for r in spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    buckets = quality.FEWEST_BUCKETS
+    grams = {i: [h[w] % buckets for w in ws] + [hp[h[a], h[b]] % buckets for a, b in zip(ws, ws[1:], strict=False)] for i, ws in words.items()}
+    n = Counter(g for gs in grams.values() for g in gs)
+    t = Counter(g for i in trusted for g in grams[i])
+    share = sum(t.values()) / sum(n.values())
+    score = {i: sum(round(math.log((t[g] - (i in trusted) + 1) / ((n[g] - 1) * share + 1)) * 1e6) for g in gs) / len(gs) / 1e6 if gs else 0.0 for i, gs in grams.items()}
+    low, middle = np.quantile([round(score[i], 3) for i in trusted if len(words[i]) >= 20], [quality.QUANTILE, 0.5])
+    assert len(got) == len(rows) and len({r.kept for r in got if not r.base_failed}) == 2
+    for r in got:
+        assert math.isclose(r.score, score[r.doc_id], abs_tol=2e-6)
+        assert r.kept == (not r.base_failed and score[r.doc_id] >= low - (middle - low) / 4)
+        assert tuple(r)[2:9] == tuple(range(7))
