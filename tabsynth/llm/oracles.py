@@ -56,3 +56,26 @@ t as (select {CRC_TABLE} as crc),
 c as (select doc_id, (octet_length(encode(x)) + 1)::bigint as size, m,
   xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::int, 2))::bigint)), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) as text_crc32 from d, t)
 select c.doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by ('0x' || substr(m, 17, 8))::bigint, c.doc_id) - 1 as slot, grown_shard from c join s using (doc_id)"""
+
+_FIELD = "case when {0} is null then '-' else strlen({0}::varchar) || ':' || {0}::varchar end"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(doc_id::varchar)), lambda i: ascii(substr(doc_id::varchar, (i + 1)::int, 1))::bigint)), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295)"
+
+# n: nodes of all trees; s: sources' trees, top: the tree above them; f: the fold of each row's leaf
+OP12 = f"""with recursive c as (select {CRC_TABLE} as crc),
+d as (select doc_id, source, {_LEAF.format(text='text')} as leaf, case when {_CRC} % 2 = 0 then replace(text, chr(10), '') else text end as now, lang, n_chars from documents, c),
+l as (select *, {_LEAF.format(text='now')} as found, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by source) as n from d),
+s as (select source, 0 as lvl, i, n, leaf as h from l
+  union all select source, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' order by i)) from s where n > 1 group by source, lvl, i // 3, n),
+r as (select source, h as subroot, lvl as depth, row_number() over (order by source nulls first) - 1 as place, count(*) over () as sources from s where n = 1),
+top as (select 0 as lvl, place as i, sources as n, subroot as h from r
+  union all select lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' order by i)) from top where n > 1 group by lvl, i // 3, n),
+u as (select h as root, lvl as height from top where n = 1),
+b as (select row_number() over () as id, l.*, subroot, depth, place, root, height from l join r on l.source is not distinct from r.source, u),
+p as (select id, s.lvl, s.i, s.h, s.i = b.i // (3 ** s.lvl)::bigint as own from b join s on s.source is not distinct from b.source and s.n > 1 and s.i // 3 = b.i // (3 ** (s.lvl + 1))::bigint
+  union all select id, b.depth + top.lvl, top.i, top.h, top.i = b.place // (3 ** top.lvl)::bigint from b join top on top.n > 1 and top.i // 3 = b.place // (3 ** (top.lvl + 1))::bigint),
+q as (select id, sha256(coalesce(string_agg(h, '' order by lvl, i) filter (not own), '')) as proof from p group by 1),
+runs as (select id, lvl, coalesce(string_agg(h, '' order by i) filter (i < o), '') as lefts, coalesce(string_agg(h, '' order by i) filter (i > o), '') as rights from (select *, max(i) filter (own) over (partition by id, lvl) as o from p) group by 1, 2),
+f as (select id, 0 as lvl, found as h from b union all select f.id, f.lvl + 1, sha256(lefts || f.h || rights) from f join runs on runs.id = f.id and runs.lvl = f.lvl)
+select doc_id, leaf, subroot, root, coalesce(proof, sha256('')) as proof_sha256, f.h as folded_root, f.h = root as verified
+from b left join q using (id) join f on f.id = b.id and f.lvl = depth + height"""
