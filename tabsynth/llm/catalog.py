@@ -88,8 +88,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(docs, without_line_ends(docs))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tabsynth.llm.tokenfile import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_index, op2_line_dedup, op3_best_fit_packing, op4_token_counts, op5_lm_scores, op6_jaccard_join, op7_vector_near_dedup, op8_quality_rules, op9_byte_bpe, op10_sharding, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_warc_index, op2_line_dedup, op3_best_fit_packing, op4_token_counts, op5_lm_scores, op6_jaccard_join, op7_vector_near_dedup, op8_quality_rules, op9_byte_bpe, op10_sharding, op12_merkle_manifest, op13_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
