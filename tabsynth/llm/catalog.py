@@ -81,6 +81,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabsynth.llm.phrases import mine_phrases
+
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabsynth.llm.manifest import merkle_manifest, without_line_ends
 
@@ -97,8 +103,8 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_index, op2_line_dedup, op3_best_fit_packing, op4_token_counts, op5_lm_scores, op6_jaccard_join, op7_vector_near_dedup, op8_quality_rules, op9_byte_bpe, op10_sharding, op12_merkle_manifest, op13_token_files)}
+    return {f.__name__: f for f in (op1_warc_index, op2_line_dedup, op3_best_fit_packing, op4_token_counts, op5_lm_scores, op6_jaccard_join, op7_vector_near_dedup, op8_quality_rules, op9_byte_bpe, op10_sharding, op11_phrases, op12_merkle_manifest, op13_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": oracles.OP1, "op2_line_dedup": oracles.OP2, "op6_jaccard_join": oracles.OP6, "op7_vector_near_dedup": oracles.OP7, "op10_sharding": oracles.OP10, "op12_merkle_manifest": oracles.OP12}
+    return {"op1_warc_index": oracles.OP1, "op2_line_dedup": oracles.OP2, "op6_jaccard_join": oracles.OP6, "op7_vector_near_dedup": oracles.OP7, "op10_sharding": oracles.OP10, "op11_phrases": oracles.OP11, "op12_merkle_manifest": oracles.OP12}

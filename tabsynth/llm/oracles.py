@@ -79,3 +79,17 @@ runs as (select id, lvl, coalesce(string_agg(h, '' order by i) filter (i < o), '
 f as (select id, 0 as lvl, found as h from b union all select f.id, f.lvl + 1, sha256(lefts || f.h || rights) from f join runs on runs.id = f.id and runs.lvl = f.lvl)
 select doc_id, leaf, subroot, root, coalesce(proof, sha256('')) as proof_sha256, f.h as folded_root, f.h = root as verified
 from b left join q using (id) join f on f.id = b.id and f.lvl = depth + height"""
+
+OP11 = f"""with d as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x != '') as w from d),
+n as (select lang, sum(len(w))::bigint as n from w group by 1),
+o as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from w, (values (1), (2), (3), (4)) v(k) where len(w) >= k),
+f as (select lang, k, phrase, count(*) as f from o group by 1, 2, 3 having count(*) >= 30),
+c as (select lang, phrase, k, f as a, string_split(phrase, ' ') as ws from f where k > 1),
+cuts as (select c.lang, c.phrase, a, cut, x.f as l, y.f as r, 2000000::hugeint * a // (x.f + y.f) as score from (select *, unnest(range(1, k)) as cut from c) c
+  join f x on x.lang = c.lang and x.phrase = array_to_string(ws[1:cut], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(ws[cut + 1:c.k], ' ')),
+best as (select lang, phrase, a, l, r, score::bigint as score from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+longer as (select lang, array_to_string(ws[i:i + m - 1], ' ') as phrase, max(a) as f from (select lang, a, ws, m, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from c)) group by 1, 2),
+kept as (select best.* from best left join longer using (lang, phrase) where f is null or 100::hugeint * f < 80::hugeint * a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000"""
