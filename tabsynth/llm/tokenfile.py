@@ -39,11 +39,8 @@ def chunk_widths(ids: np.ndarray) -> list[int]:
     """The widths of the levels that take the fewest bits, bitmaps and directories included."""
     if not len(ids):
         return [1]
-    lengths = np.zeros(len(ids), np.int64)
-    for k in range(32):
-        lengths += (ids >> np.uint32(k)) > 0
-    beyond = [int((lengths > k).sum()) for k in range(33)]
-    beyond[0], most = len(ids), max(1, int(lengths.max()))
+    most = max(1, int(ids.max()).bit_length())
+    beyond = [len(ids), *[int(np.count_nonzero(ids >> np.uint32(k))) for k in range(1, most)]]
     mark = 1 + 32 / RANK_BITS
     best: dict[int, tuple[float, list[int]]] = {most: (0.0, [])}
     for at in range(most - 1, -1, -1):
@@ -158,7 +155,7 @@ def segments(content: bytes) -> Iterator[Segment]:
 
 # fixed: the white space that the tokenizer's own pattern knows (Unicode's White_Space)
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MAX_UNITS, JOINED, LINE_FEED = 500_000, 256, 198
+MAX_UNITS, JOINED, LINE_FEED = 700_000, 64, 198
 
 
 class ByteIds:
@@ -178,11 +175,20 @@ class ByteIds:
         self.simple = re.compile(f" ?[^{SPACES}]+").fullmatch
         self.joins = self.tokenizer.token_to_id("Ċ") == LINE_FEED and self._ids("a\nb")[1] == LINE_FEED
         self.known: dict[str, bytes] = {}
+        self.marks = {c: array("I", self._ids(c)).tobytes() for c in ".,;:!?"}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _new(self, units: list[str]) -> dict[str, bytes]:
+    def _new(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of unknown units. A mark after a letter is a piece of its own, so the rest may be known, and is encoded once for all marks."""
+        known, ends = self.known, [u for u in units if u[-1] in self.marks and u[-2:-1].isalpha()]
+        out = self._encoded(list({u[:-1] for u in ends if u[:-1] not in known} | units.difference(ends)))
+        marks = self.marks
+        out.update([(u, (known.get(u[:-1]) or out[u[:-1]]) + marks[u[-1]]) for u in ends])
+        return out
+
+    def _encoded(self, units: list[str]) -> dict[str, bytes]:
         """A line feed between two units is a token of its own that no such unit has, so many go in one call."""
         simple = [u for u in units if self.simple(u)] if self.joins else []
         out = {}
@@ -202,11 +208,14 @@ class ByteIds:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        cut, known = [self.units(x) if x else [] for x in texts], self.known
-        missing = {u for us in cut for u in us if u not in known}
-        new = self._new(list(missing)) if missing else {}
-        known.update(islice(((u, x) for u, x in new.items() if len(u) < 64), max(0, MAX_UNITS - len(known))))
-        return [b"".join([known[u] if u in known else new[u] for u in us]) if missing else b"".join(map(known.__getitem__, us)) for us in cut]
+        cut = [self.units(x) if x else [] for x in texts]
+        coded = [list(map(self.known.get, us)) for us in cut]
+        missing = {u for us, xs in zip(cut, coded, strict=True) if None in xs for u, x in zip(us, xs, strict=True) if x is None}
+        if not missing:
+            return list(map(b"".join, coded))
+        new = self._new(missing)
+        self.known.update(islice(((u, x) for u, x in new.items() if len(u) < 64), max(0, MAX_UNITS - len(self.known))))
+        return [b"".join([new[u] if x is None else x for u, x in zip(us, xs, strict=True)]) if None in xs else b"".join(xs) for us, xs in zip(cut, coded, strict=True)]
 
 
 _made: dict[str, ByteIds] = {}
