@@ -10,6 +10,7 @@ through but never too little.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
@@ -106,6 +107,9 @@ def word_hash(lang: str, word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, xxhash.xxh32_intdigest(lang))
 
 
+WHOLE = (1 << 64) - 1
+
+
 def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return mixed >> np.uint64(64 - bits), (mixed ^ (mixed << np.uint64(bits))) >> np.uint64(64 - bits)
@@ -115,7 +119,16 @@ class Sieve:
     """Whether a phrase may be frequent. It never denies one that is."""
 
     def __init__(self, bits: int, marks: np.ndarray):
-        self.bits, self.marks = bits, marks
+        self.bits, self.marks, self.bytes = bits, marks, memoryview(marks)
+
+    def one(self, h: int) -> bool:
+        """The same for one hash, without arrays."""
+        h = (h ^ h >> 31) * 0x9E3779B97F4A7C15 & WHOLE
+        at = h >> 64 - self.bits
+        if not self.bytes[at >> 3] >> (at & 7) & 1:
+            return False
+        at = ((h ^ h << self.bits) & WHOLE) >> 64 - self.bits
+        return self.bytes[at >> 3] >> (at & 7) & 1 > 0
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), bool)
@@ -178,13 +191,13 @@ class _Book:
 
     def __init__(self, sieve: Sieve | None):
         self.sieve, self.known = sieve, 0
-        self.words, self.langs, self.hashes = [b""], [""], [0]
+        self.words, self.langs, self.hashes = [b""], [""], array("Q", [0])
         self.of: dict[str, _Words] = {}
 
     def number(self, lang: str, word: bytes) -> int:
         self.known += 1
         h = word_hash(lang, word)
-        if self.sieve and not self.sieve(np.array([h], np.uint64))[0]:
+        if self.sieve and not self.sieve.one(h):
             return 0
         self.words.append(word)
         self.langs.append(lang)
@@ -230,17 +243,20 @@ class _Book:
             yield batch.slice(k, 64)
 
 
-def _counter(sizes: tuple[int, ...], parts: int, words: Broadcast | None, pairs: Broadcast | None, burst: int, entries: int, most_words: int):
+def _counter(sizes: tuple[int, ...], parts: int, known: Broadcast | None, pairs: Broadcast | None, burst: int, entries: int, most_words: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieves = [Sieve(*b.value) if b else None for b in (words, pairs)]
+        sieves = [Sieve(*b.value) if b else None for b in (known, pairs)]
         book, trie, held = _Book(sieves[0]), BurstTrie(burst), []
+        words = np.zeros(0, np.int64)  # single words need no trie below them: counts by id
 
         def block() -> None:
+            nonlocal words
             ids = np.array(held, np.int64)
             held.clear()
             if sizes == (1,):
-                keep = ids > 0
-                trie.add(ids[keep], np.zeros(keep.sum(), np.int64))
+                more = np.bincount(ids, minlength=len(words))
+                more[: len(words)] += words
+                words = more
                 return
             both = (ids[:-1] > 0) & (ids[1:] > 0)
             if sizes == (2,):
@@ -254,6 +270,16 @@ def _counter(sizes: tuple[int, ...], parts: int, words: Broadcast | None, pairs:
             last = np.where(four, np.append(ids, 0)[three + 3], 0)
             trie.add(ids[three], ids[three + 1] << 2 * ID_BITS | ids[three + 2] << ID_BITS | last)
 
+        def all_runs() -> Iterator[pa.RecordBatch]:
+            nonlocal words
+            if sizes == (1,):
+                words[:1] = 0
+                first = np.flatnonzero(words)
+                yield from book.runs(first, np.zeros(len(first), np.int64), words[first], sizes, parts)
+                words = words[:0]
+            else:
+                yield from book.runs(*trie.spill(), sizes, parts)
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 held += book.ids(lang, text.as_py())
@@ -261,12 +287,12 @@ def _counter(sizes: tuple[int, ...], parts: int, words: Broadcast | None, pairs:
                 if len(held) > BLOCK_IDS:
                     block()
                     if book.known > most_words or len(book.words) >> ID_BITS:
-                        yield from book.runs(*trie.spill(), sizes, parts)
+                        yield from all_runs()
                         book = _Book(sieves[0])
                     elif trie.entries > entries:
                         yield from book.runs(*trie.spill(entries // 2), sizes, parts)
         block()
-        yield from book.runs(*trie.spill(), sizes, parts)
+        yield from all_runs()
 
     return count
 
