@@ -178,8 +178,10 @@ def fi1_auto_bounds(spark, d):
     return expr.drop_violators(syn, expr.auto_bounds(real)).agg(F.count(F.lit(1)).alias("kept"))
 
 
-# the last but one is 0/0 where the discount is 0, and so false there; the last isn't a rule and is left out
-RULES = ["0 <= c4 < 45", "not (c6 > 0.09) or c8 == 'A'", "c3 in [1, 2, 3, 4, 5, 6]", "c5 / c4 > 900 & c7 != 0.08", "c6 / c6 >= 1 | c4 > 40", "c0 = 3"]
+# text beside numbers: never equal, and without an order; those that have none are left out
+UNLIKE = ["c8 != 5", "not (c4 == 'x')", "c8 in ['A', 'R', 3] or c2 != 'x' and c8 == 'N'", "c8 < 5", "c4 >= 'x'", "c8 * 2 > 1", "c4 + c8 != 1", "c10 > '1970-01-01'", "c10 != 'never'", "not c10 in ['never', 7]", "c0 < 100000000000000000000"]
+# the last but one of these is 0/0 where the discount is 0, and so false there; the last isn't a rule and is left out
+RULES = ["0 <= c4 < 45", "not (c6 > 0.09) or c8 == 'A'", "c3 in [1, 2, 3, 4, 5, 6]", "c5 / c4 > 900 & c7 != 0.08", "c6 / c6 >= 1 | c4 > 40", "c0 = 3", *UNLIKE]
 RULES_SQL = """(0 <= l_quantity and l_quantity < 45) and (not (l_discount > 0.09) or l_returnflag = 'A') and l_linenumber in (1, 2, 3, 4, 5, 6)
 and l_extendedprice / l_quantity > 900 and l_tax != 0.08 and (l_discount != 0 or l_quantity > 40)"""
 
@@ -637,6 +639,7 @@ def ge4_bandwidth(spark, d):
 @query("""with x as (select l_quantity v from lineitem union all select 1e6 from (select 1) t), n as (select v from x where v != 1e6)
 select 'top' as kind, null::double as mode, 1e6 as top, round(0.9 * count(*) ** -0.2 * least(stddev_pop(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34), 6) as bandwidth from n
 union all select 'repeated top', null, null, round(0.9 * count(*) ** -0.2 * least(stddev_pop(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34), 6) from (select v from x union all select 1e6)
+union all select 'absent top', null, 2e6, round(0.9 * count(*) ** -0.2 * least(stddev_pop(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34), 6) from x
 union all select 'mode', 0, null, round(0.9 * count(*) ** -0.2 * least(stddev_pop(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34), 6) from (select l_quantity v from lineitem where l_orderkey % 5 = 0)""")
 def ge4_smoothing_cases(spark, d):
     items = table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").alias("v"))
@@ -644,6 +647,8 @@ def ge4_smoothing_cases(spark, d):
     once = items.select("v").union(far)
     cases = {"top": once, "repeated top": once.union(far), "mode": items.select(F.when(F.col("l_orderkey") % 5 == 0, F.col("v")).otherwise(0.0).alias("v"))}
     rows = [(k, *[s[n] for n in ("mode", "top", "bandwidth")]) for k, df in cases.items() for s in [synth.smoothing(df, "v")]]
+    absent = synth.smoothing(once, "v", 2e6)  # no drawn row has the real table's largest value: none is left out
+    rows.append(("absent top", absent["mode"], absent["top"], absent["bandwidth"]))
     return rounded(spark.createDataFrame(rows, "kind string, mode double, top double, bandwidth double"))
 
 

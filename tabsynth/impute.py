@@ -11,14 +11,11 @@ from pyspark.sql import functions as F
 
 from tabsynth.features import category_lists, decode_categories, encode_categories
 from tabsynth.metrics import moment_matrices
-from tabsynth.ordered import running_sums
+from tabsynth.ordered import BUFFER_ROWS, running_sums
 from tabsynth.schema import CATEGORICAL, INDICATOR, NUMERICAL, infer_schema
 from tabsynth.session import written
 from tabsynth.tiles import blocks, tile_pairs
 
-#: Rows whose distinct values a median's or mode's buffer may hold.
-BUFFER_ROWS = 1_000_000
-
 
 def fill_values(df: DataFrame, cols: list[str]) -> dict:
     """Median of numerical and mode (least of ties) of other columns; None where all is missing.

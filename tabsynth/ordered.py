@@ -11,8 +11,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsynth.session import written
+
 #: Rows of a range, about; and ranges at most, which percentile_approx tells apart.
 RANGE_ROWS, MOST_RANGES = 200_000, 10_000
+#: Rows whose distinct values one buffer may hold.
+BUFFER_ROWS = 1_000_000
 
 
 def range_count(df: DataFrame) -> int:
@@ -81,3 +85,21 @@ def number_within(df: DataFrame, by: list[str], order: list[str | Column], name:
     numbered = cut.withColumn(name, F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
     same = [numbered[c].eqNullSafe(F.col(f"_k_{c}")) for c in by] + [F.col("_range") == F.col("_k_range")]
     return numbered.join(starts, same).withColumn(name, F.col(name) + F.col("_from")).select(*df.columns, name)
+
+
+def quantiles(df: DataFrame, col: str, probs: list[float], buffer_rows: int = BUFFER_ROWS) -> list[float] | None:
+    """Exact quantiles with linear interpolation of a column of doubles without nulls; None without rows.
+
+    Up to buffer_rows rows one buffer holds the distinct values; of more, values are counted in a shuffle and the ranks found by running sums.
+    """
+    n = df.count()
+    if not n:
+        return None
+    if n <= buffer_rows:
+        return df.agg(F.percentile(col, F.array(*[F.lit(float(p)) for p in probs])).alias("q")).first()["q"]
+    counts = written(df.groupBy(F.col(col).alias("x")).agg(F.count(F.lit(1)).alias("n")), "values")
+    upto = running_sums(counts, [], "x", {"upto": "n"})
+    places = [p * (n - 1) for p in probs]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    row = upto.agg(*[F.min(F.when(F.col("upto") > r, F.col("x"))).alias(f"r{r}") for r in ranks]).first()
+    return [row[f"r{math.floor(p)}"] + (p - math.floor(p)) * (row[f"r{math.ceil(p)}"] - row[f"r{math.floor(p)}"]) for p in places]
