@@ -6,16 +6,20 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsynth.features import category_lists, decode_categories, encode_categories
 from tabsynth.metrics import moment_matrices
+from tabsynth.nearest import nearest_in_spaces
 from tabsynth.ordered import BUFFER_ROWS, running_sums
 from tabsynth.schema import CATEGORICAL, INDICATOR, NUMERICAL, infer_schema
 from tabsynth.session import written
 from tabsynth.tiles import blocks, tile_pairs
 
+#: Pairs of patterns of known columns that neighbours are sought for by an index.
+MOST_SPACES = 1_000
+
 
 def fill_values(df: DataFrame, cols: list[str]) -> dict:
     """Median of numerical and mode (least of ties) of other columns; None where all is missing.
@@ -127,20 +131,38 @@ def _coded(frames: list[DataFrame], meta: dict[str, str]) -> tuple[list[DataFram
     return coded, lists, numbers, [*numbers, *lists]
 
 
-def impute_knn(train: DataFrame, *others: DataFrame, meta: dict[str, str], key: str, k: int = 5) -> list[DataFrame]:
-    """Missing cells become the mean of the k nearest training rows that have the cell.
+def _spaces(gaps: list[str], donors: list[str]) -> list[tuple[int, str, str, list[int], list[int]]]:
+    """(number, gaps' pattern, donors' pattern, shared columns, columns to fill) of patterns of known (1) columns that can be compared."""
+    out = []
+    for q in gaps:
+        for s in donors:
+            shared = [i for i, (a, b) in enumerate(zip(q, s, strict=True)) if a == b == "1"]
+            wanted = [i for i, (a, b) in enumerate(zip(q, s, strict=True)) if a == "0" and b == "1"]
+            if shared and wanted:
+                out.append((len(out), q, s, shared, wanted))
+    return out
+
+
+def _found_in_spaces(gaps: DataFrame, donors: DataFrame, spaces: list[tuple], key: str, vector: Column, width: int, k: int) -> DataFrame:
+    """key, col, d, other, v: nearest donors by an index for each pair of patterns. Distances are scaled up for columns that aren't shared."""
+    spark = gaps.sparkSession
+    table = F.broadcast(spark.createDataFrame(spaces, "space int, q string, s string, shared array<int>, wanted array<int>"))
+    shared = F.transform("shared", lambda i: F.get("_v", i))
+    left = gaps.select(F.col(key).alias("key"), vector.alias("_v"), _pattern(vector).alias("q")).join(table, "q").select("space", "key", shared.alias("v"))
+    right = donors.select(F.col(key).alias("key"), vector.alias("_v"), _pattern(vector).alias("s")).join(table, "s").select("space", "key", shared.alias("v"), F.col("_v").alias("extra"))
+    near = nearest_in_spaces(left, right, k).join(table, "space").select("key", "shared", "wanted", F.explode("near").alias("n"))
+    each = near.select("key", "shared", "n", F.explode("wanted").alias("col"))
+    return each.select("key", "col", (F.col("n.d") * F.sqrt(F.lit(float(width)) / F.size("shared"))).alias("d"), F.col("n.other").alias("other"), F.get("n.extra", F.col("col")).alias("v"))
+
+
+def _pattern(vector: Column) -> Column:
+    return F.array_join(F.transform(vector, lambda v: F.when(v.isNull(), F.lit("0")).otherwise(F.lit("1"))), "")
 
-    Distances skip missing coordinates and are scaled up for them; columns are unscaled, categories are codes. Fewer
-    donors: their mean; none at a usable distance: the column's mean. Only rows with missing cells are compared, in tiles.
-    """
-    frames = [train, *others]
-    coded, lists, _, cols = _coded(frames, {c: t for c, t in meta.items() if c != key})
-    if not cols:
-        return frames
-    means = coded[0].agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    vector = F.array(*cols)
-    donors, m = blocks(coded[0], key, vector)
-    kind = dict(train.dtypes)[key]
+
+def _found_in_tiles(gaps: DataFrame, donors: DataFrame, key: str, vector: Column, kind: str, k: int) -> DataFrame:
+    """The same by comparing all rows with gaps with all donors: for tables with very many patterns."""
+    left, n = blocks(gaps, key, vector)
+    right, m = blocks(donors, key, vector)
 
     def work(ka: np.ndarray, a: np.ndarray, kb: np.ndarray, b: np.ndarray) -> pd.DataFrame:
         out = {"key": [], "col": [], "d": [], "other": [], "v": []}
@@ -163,11 +185,35 @@ def impute_knn(train: DataFrame, *others: DataFrame, meta: dict[str, str], key:
                 out["v"] += b[ok, c].tolist()
         return pd.DataFrame(out).astype({"col": "int32", "d": "float64", "v": "float64"})
 
+    return tile_pairs(left, right, n, m, work, f"key {kind}, col int, d double, other {kind}, v double")
+
+
+def impute_knn(train: DataFrame, *others: DataFrame, meta: dict[str, str], key: str, k: int = 5, most_spaces: int = MOST_SPACES) -> list[DataFrame]:
+    """Missing cells become the mean of the k nearest training rows that have the cell.
+
+    Distances skip missing coordinates and are scaled up for them; columns are unscaled, categories are codes. Fewer
+    donors: their mean; none at a usable distance: the column's mean. Rows with gaps and donors are compared by an index over the columns
+    that both patterns of known columns share; beyond most_spaces pairs of patterns, in tiles of all pairs.
+    """
+    frames = [train, *others]
+    coded, lists, _, cols = _coded(frames, {c: t for c, t in meta.items() if c != key})
+    if not cols:
+        return frames
+    means = coded[0].agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    vector = F.array(*[F.col(c) + F.lit(0.0) for c in cols])
+    kind = dict(train.dtypes)[key]
+    patterns = lambda df: [r["p"] for r in df.select(_pattern(vector).alias("p")).distinct().limit(most_spaces + 1).collect()]
+    known = patterns(coded[0])
     done = []
     for df, raw in zip(coded, frames, strict=True):
         gaps = df.where(F.exists(vector, lambda v: v.isNull()))
-        left, n = blocks(gaps, key, vector)
-        found = tile_pairs(left, donors, n, m, work, f"key {kind}, col int, d double, other {kind}, v double")
+        asked = patterns(gaps)
+        spaces = _spaces(asked, known) if len(asked) * len(known) <= most_spaces else None
+        if spaces == []:  # nothing is missing, or nothing can be compared
+            filled = df.withColumns({c: F.coalesce(F.col(c), F.lit(means[f"m{i}"])) for i, c in enumerate(cols)}).select(*raw.columns)
+            done.append(decode_categories(filled, lists))
+            continue
+        found = _found_in_spaces(gaps, coded[0], spaces, key, vector, len(cols), k) if spaces else _found_in_tiles(gaps, coded[0], key, vector, kind, k)
         best = F.slice(F.sort_array(F.collect_list(F.struct("d", "other", "v"))), 1, k)
         cells = found.groupBy("key", "col").agg(best.alias("x")).select("key", "col", F.expr("aggregate(x, 0D, (a, e) -> a + e.v) / size(x)").alias("v"))
         wide = cells.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("col", "v"))).alias("_cells")).withColumnRenamed("key", "_key")

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabsynth import expr, features, gate, impute, metrics, privacy, report, sample, schema
+from tabsynth.nearest import nearest_rows
 from tabsynth.ordered import number_within, running_sums
-from tabsynth.tiles import kernel_mean, nearest_rows
+from tabsynth.tiles import kernel_mean
 
 
 def test_names_and_types(spark):
@@ -147,12 +148,13 @@ def test_imputation(spark):
     assert [r.s for r in impute.impute_categorical_rf(one, meta={"s": "categorical", "v": "numerical"})[0].collect()] == ["x", "x"]
 
 
-def test_knn_imputation_equals_brute_force(spark):
+@pytest.mark.parametrize("most", [1000, 0])
+def test_knn_imputation_equals_brute_force(spark, most):
     rnd = np.random.default_rng(5)
     x = rnd.normal(size=(40, 3)).round(2)
     x[rnd.random(x.shape) < 0.2] = np.nan
     df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "k long, a double, b double, c double")
-    got = np.array([tuple(r)[1:] for r in impute.impute_knn(df, meta=dict.fromkeys("abc", "numerical"), key="k", k=3)[0].orderBy("k").collect()])
+    got = np.array([tuple(r)[1:] for r in impute.impute_knn(df, meta=dict.fromkeys("abc", "numerical"), key="k", k=3, most_spaces=most)[0].orderBy("k").collect()])
     want = x.copy()
     for i, j in zip(*np.nonzero(np.isnan(x)), strict=True):
         d = []
