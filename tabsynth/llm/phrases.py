@@ -13,7 +13,8 @@ from __future__ import annotations
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from functools import cache
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from tabsynth.llm.common import shuffle_partitions, written
 
 #: Bits of a word's id; entries of a container before it bursts; of a trie before subtrees leave it; words that a task knows at most.
-ID_BITS, BURST, ENTRIES, MOST_WORDS = 21, 4_096, 1_000_000, 1_000_000
+ID_BITS, BURST, ENTRIES, MOST_WORDS = 21, 4_096, 700_000, 700_000
 #: Ids counted together; bytes of text for each prefix partition; bits for each phrase in a sieve, and in all, as powers of two.
-BLOCK_IDS, PART_BYTES, SIEVE_BITS, MOST_BITS, CHUNK_BITS = 400_000, 8 << 20, 16, 30, 19
+BLOCK_IDS, PART_BYTES, SIEVE_BITS, MOST_BITS, CHUNK_BITS = 1_200_000, 8 << 20, 16, 30, 19
 # fixed: what ends a piece of text (the contract's class), as one byte that UTF-8 never has
 ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\xff" * 10)
 RUNS = "lang string, part int, phrases array<string>, counts array<long>"
@@ -79,22 +80,22 @@ class BurstTrie:
     def spill(self, keep: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Takes the largest subtrees out until `keep` entries are left: first words, rests and counts, in order."""
         size = {w: len(x) if isinstance(x, Counter) else sum(map(len, x.values())) for w, x in self.top.items()}
-        words, keys, counts = [], [], []
+        words, seconds, boxes = [], [], []
         for w in sorted(size, key=size.get, reverse=True):
             if self.entries <= keep:
                 break
             below = self.top.pop(w)
-            boxes = [(0, below)] if isinstance(below, Counter) else list(below.items())
-            for second, box in boxes:
-                keys.append(np.fromiter(box.keys(), np.int64, len(box)) + (second << 2 * ID_BITS))
-                counts.append(np.fromiter(box.values(), np.int64, len(box)))
-            words.append(np.full(size[w], w, np.int64))
+            mine = {0: below} if isinstance(below, Counter) else below
+            words += [w] * len(mine)
+            seconds += mine
+            boxes += mine.values()
             self.entries -= size[w]
-        if not words:
-            return (np.zeros(0, np.int64),) * 3
-        first, rest, n = np.concatenate(words), np.concatenate(keys), np.concatenate(counts)
+        sizes = list(map(len, boxes))
+        first = np.repeat(np.array(words, np.int64), sizes)
+        rest = np.fromiter(chain.from_iterable(boxes), np.int64, len(first)) + np.repeat(np.array(seconds, np.int64) << 2 * ID_BITS, sizes)
+        counts = np.fromiter(chain.from_iterable(x.values() for x in boxes), np.int64, len(first))
         order = np.lexsort((rest, first))
-        return first[order], rest[order], n[order]
+        return first[order], rest[order], counts[order]
 
 
 def joined_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,7 +105,12 @@ def joined_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, xxhash.xxh32_intdigest(lang))
+    return xxhash.xxh64_intdigest(word, lang_seed(lang))
+
+
+@cache
+def lang_seed(lang: str) -> int:
+    return xxhash.xxh32_intdigest(lang)
 
 
 WHOLE = (1 << 64) - 1
@@ -304,13 +310,20 @@ def merge_runs(table: pa.Table, least: int) -> tuple[list[str], list[int], int]:
         entries += zip(phrases.as_py(), counts.as_py(), strict=True)
     entries.sort(key=itemgetter(0))
     found, numbers, total = [], [], 0
-    for phrase, some in groupby(entries, itemgetter(0)):
-        n = sum([x[1] for x in some])
+    last, n = None, 0
+    for phrase, count in entries:
+        if phrase == last:
+            n += count
+            continue
         total += n
         if n >= least:
-            found.append(phrase)
+            found.append(last)
             numbers.append(n)
-    return found, numbers, total
+        last, n = phrase, count
+    if n >= least:
+        found.append(last)
+        numbers.append(n)
+    return found, numbers, total + n
 
 
 def _frequent(docs: DataFrame, sizes: tuple[int, ...], parts: int, least: int, words: Broadcast | None = None, pairs: Broadcast | None = None, **limits: int) -> DataFrame:
