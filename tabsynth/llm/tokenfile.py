@@ -17,7 +17,6 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -155,14 +154,28 @@ def segments(content: bytes) -> Iterator[Segment]:
 
 # fixed: the white space that the tokenizer's own pattern knows (Unicode's White_Space)
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MAX_UNITS, JOINED, LINE_FEED = 700_000, 64, 198
+MAX_UNITS, JOINED = 900_000, 64
+
+
+class _Known(dict):
+    """Ids by key. Keys that aren't there are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.missed: list[str] = []
+
+    def __missing__(self, key: str) -> bytes:
+        self.missed.append(key)
+        return b""
 
 
 class ByteIds:
     """Ids of a byte-level tokenizer, with what a worker has already encoded kept.
 
     The tokenizer's pattern never matches across the end of a run of other characters than white space. So a text's units,
-    white space and the run after it, are encoded each on its own; they repeat, and only new ones reach the tokenizer.
+    white space and the run after it, are encoded each on its own; they repeat, and only new ones reach the tokenizer. Most
+    units are a space and a word, so a word is the key of that unit; a line feed and a word is its own key, and any other unit has a
+    carriage return before it. A text whose white space is single spaces and line feeds is cut into keys at its spaces.
     """
 
     def __init__(self, path: str):
@@ -172,50 +185,77 @@ class ByteIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.units = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
-        self.simple = re.compile(f" ?[^{SPACES}]+").fullmatch
-        self.joins = self.tokenizer.token_to_id("Ċ") == LINE_FEED and self._ids("a\nb")[1] == LINE_FEED
-        self.known: dict[str, bytes] = {}
+        self.simple = re.compile(f"[^{SPACES}]+").fullmatch
+        self.rare_space = re.compile(f"[{SPACES.replace(' ', '')}]").search
+        self.line = array("I", self._ids("\n")).tobytes()
+        self.joins = array("I", self._ids("a\n b\nc")).tobytes() == b"".join(array("I", self._ids(x)).tobytes() for x in ("a", "\n", " b", "\n", "c")) and len(self.line) == 4
         self.marks = {c: array("I", self._ids(c)).tobytes() for c in ".,;:!?"}
+        self.known = _Known()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _new(self, units: set[str]) -> dict[str, bytes]:
-        """Ids of unknown units. A mark after a letter is a piece of its own, so the rest may be known, and is encoded once for all marks."""
-        known, ends = self.known, [u for u in units if u[-1] in self.marks and u[-2:-1].isalpha()]
-        out = self._encoded(list({u[:-1] for u in ends if u[:-1] not in known} | units.difference(ends)))
-        marks = self.marks
-        out.update([(u, (known.get(u[:-1]) or out[u[:-1]]) + marks[u[-1]]) for u in ends])
+    def _keys(self, text: str) -> list[str]:
+        plain = not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text)
+        if plain and (text.isascii() or not self.rare_space(text.replace("\n", ""))):
+            return ("\r" + text.replace("\n", " \n")).split(" ")
+        return [u[1:] if u[0] == " " and self.simple(u[1:]) else u if u[0] == "\n" and self.simple(u[1:]) else "\r" + u for u in self.units(text)]
+
+    def _new(self, keys: set[str]) -> dict[str, bytes]:
+        """Ids of unknown keys. A mark after a letter is a piece of its own, and so is a line feed before a word: the rest may be known, and is encoded once for all."""
+        known, marks, parts, todo = self.known, self.marks, {}, set()
+        for k in keys:
+            core, after, before = k, b"", b""
+            if k[-1:] in marks and k[-2:-1].isalpha():
+                core, after = k[:-1], marks[k[-1]]
+            if core[:1] == "\n" and len(core) > 1:
+                core, before = "\r" + core[1:], self.line
+            if core not in known:
+                todo.add(core)
+            parts[k] = before, core, after
+        out = self._encoded(list(todo))
+        out.update([(k, before + (out[core] if core in out else known[core]) + after) for k, (before, core, after) in parts.items()])
         return out
 
-    def _encoded(self, units: list[str]) -> dict[str, bytes]:
-        """A line feed between two units is a token of its own that no such unit has, so many go in one call."""
-        simple = [u for u in units if self.simple(u)] if self.joins else []
+    def _encoded(self, keys: list[str]) -> dict[str, bytes]:
+        """A line feed between two units without one is a token of its own, so many go in one call."""
+        units = {k: k[1:] if k[:1] == "\r" else k if k[:1] == "\n" else " " + k for k in keys}
+        simple = [k for k in keys if self.simple(k if k[:1] not in "\r\n" else k[1:])] if self.joins else []
+        simple = [k for k in simple if k[:1] != "\n"]
         out = {}
         parts = [simple[k : k + JOINED] for k in range(0, len(simple), JOINED)]
-        for part, coded in zip(parts, self.tokenizer.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
+        for part, coded in zip(parts, self.tokenizer.encode_batch_fast(["\n".join([units[k] for k in p]) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(coded.ids, "<u4")
-            cuts = np.flatnonzero(ids == LINE_FEED)
+            cuts = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
             if len(cuts) == len(part) - 1:
                 data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
                 start = 0
-                for u, end in zip(part, ends, strict=True):
-                    out[u] = data[start:end]
+                for k, end in zip(part, ends, strict=True):
+                    out[k] = data[start:end]
                     start = end + 4
-        rest = [u for u in units if u not in out]
-        out.update((u, array("I", c.ids).tobytes()) for u, c in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        rest = [k for k in keys if k not in out]
+        out.update((k, array("I", c.ids).tobytes()) for k, c in zip(rest, self.tokenizer.encode_batch_fast([units[k] for k in rest], add_special_tokens=False), strict=True))
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        cut = [self.units(x) if x else [] for x in texts]
-        coded = [list(map(self.known.get, us)) for us in cut]
-        missing = {u for us, xs in zip(cut, coded, strict=True) if None in xs for u, x in zip(us, xs, strict=True) if x is None}
-        if not missing:
-            return list(map(b"".join, coded))
-        new = self._new(missing)
-        self.known.update(islice(((u, x) for u, x in new.items() if len(u) < 64), max(0, MAX_UNITS - len(self.known))))
-        return [b"".join([new[u] if x is None else x for u, x in zip(us, xs, strict=True)]) if None in xs else b"".join(xs) for us, xs in zip(cut, coded, strict=True)]
+        known, out, again = self.known, [], []
+        known.missed = missed = []
+        look = known.__getitem__
+        for x in texts:
+            before, keys = len(missed), self._keys(x) if x else []
+            out.append(b"".join(map(look, keys)))
+            if len(missed) > before:
+                again.append((len(out) - 1, keys))
+        if missed:
+            new = self._new(set(missed))
+            known.update(new)
+            for i, keys in again:
+                out[i] = b"".join(map(look, keys))
+            if len(known) > MAX_UNITS:  # the first ones stay: frequent ones come early
+                for k in new:
+                    del known[k]
+        return out
 
 
 _made: dict[str, ByteIds] = {}
