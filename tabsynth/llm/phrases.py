@@ -15,7 +15,6 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -29,9 +28,9 @@ from pyspark.sql import functions as F
 from tabsynth.llm.common import shuffle_partitions, written
 
 #: Bits of a word's id; entries of a container before it bursts; of a trie before subtrees leave it; words that a task knows at most.
-ID_BITS, BURST, ENTRIES, MOST_WORDS = 21, 4_096, 700_000, 700_000
+ID_BITS, BURST, ENTRIES, MOST_WORDS = 21, 4_096, 400_000, 500_000
 #: Ids counted together; bytes of text for each prefix partition; bits for each phrase in a sieve, and in all, as powers of two.
-BLOCK_IDS, PART_BYTES, SIEVE_BITS, MOST_BITS, CHUNK_BITS = 1_200_000, 8 << 20, 16, 30, 19
+BLOCK_IDS, PART_BYTES, SIEVE_BITS, MOST_BITS, CHUNK_BITS = 600_000, 8 << 20, 16, 30, 19
 # fixed: what ends a piece of text (the contract's class), as one byte that UTF-8 never has
 ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\xff" * 10)
 RUNS = "lang string, part int, phrases array<string>, counts array<long>"
@@ -304,26 +303,17 @@ def _counter(sizes: tuple[int, ...], parts: int, known: Broadcast | None, pairs:
 
 
 def merge_runs(table: pa.Table, least: int) -> tuple[list[str], list[int], int]:
-    """Phrases with at least `least` occurrences in all runs, their counts, and the sum of all counts. Each run is sorted; sorting them on end to end merges them."""
-    entries: list[tuple[str, int]] = []
-    for phrases, counts in zip(table["phrases"], table["counts"], strict=True):
-        entries += zip(phrases.as_py(), counts.as_py(), strict=True)
-    entries.sort(key=itemgetter(0))
-    found, numbers, total = [], [], 0
-    last, n = None, 0
-    for phrase, count in entries:
-        if phrase == last:
-            n += count
-            continue
-        total += n
-        if n >= least:
-            found.append(last)
-            numbers.append(n)
-        last, n = phrase, count
-    if n >= least:
-        found.append(last)
-        numbers.append(n)
-    return found, numbers, total + n
+    """Phrases with at least `least` occurrences in all runs, their counts, and the sum of all counts. The runs are brought into one order, in which equal phrases stand together."""
+    phrases = pa.concat_arrays([c.flatten() for c in table["phrases"].chunks] or [pa.array([], pa.string())])
+    counts = np.concatenate([c.flatten().to_numpy() for c in table["counts"].chunks] or [np.zeros(0, np.int64)])
+    if not len(counts):
+        return [], [], 0
+    order = pc.sort_indices(phrases)
+    phrases, counts = phrases.take(order), counts[order.to_numpy()]
+    starts = np.flatnonzero(np.concatenate([[True], pc.not_equal(phrases[1:], phrases[:-1]).to_numpy(zero_copy_only=False)]))
+    sums = np.add.reduceat(counts, starts)
+    keep = np.flatnonzero(sums >= least)
+    return phrases.take(pa.array(starts[keep])).to_pylist(), sums[keep].tolist(), int(counts.sum())
 
 
 def _frequent(docs: DataFrame, sizes: tuple[int, ...], parts: int, least: int, words: Broadcast | None = None, pairs: Broadcast | None = None, **limits: int) -> DataFrame:
