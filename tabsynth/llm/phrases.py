@@ -184,10 +184,10 @@ class _Words(dict):
 
     def __init__(self, lang: str, book: _Book):
         super().__init__({b"\xff": 0})
-        self.lang, self.book = lang, book
+        self.lang, self.at, self.book = lang, len(book.of), book
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = out = self.book.number(self.lang, word)
+        self[word] = out = self.book.number(self.lang, self.at, word)
         return out
 
 
@@ -196,16 +196,16 @@ class _Book:
 
     def __init__(self, sieve: Sieve | None):
         self.sieve, self.known = sieve, 0
-        self.words, self.langs, self.hashes = [b""], [""], array("Q", [0])
+        self.words, self.langs, self.hashes = [b""], array("i", [0]), array("Q", [0])
         self.of: dict[str, _Words] = {}
 
-    def number(self, lang: str, word: bytes) -> int:
+    def number(self, lang: str, at: int, word: bytes) -> int:
         self.known += 1
         h = word_hash(lang, word)
         if self.sieve and not self.sieve.one(h):
             return 0
         self.words.append(word)
-        self.langs.append(lang)
+        self.langs.append(at)
         self.hashes.append(h)
         return len(self.words) - 1
 
@@ -219,7 +219,7 @@ class _Book:
         if not len(first):
             return
         mask, words, hashes = (1 << ID_BITS) - 1, pa.array(self.words, pa.binary()).cast(pa.string()), np.array(self.hashes, np.uint64)
-        langs, lang_at = np.unique(np.array(self.langs, object), return_inverse=True)
+        names, lang_at = list(self.of), np.array(self.langs)
         phrases, numbers, which, part = [], [], [], []
         for size in sizes:
             # a window also counts for its first words: what begins alike stands together
@@ -243,7 +243,7 @@ class _Book:
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]).astype(np.int32)
         at, body = group[cuts[:-1]], [table[c].combine_chunks() for c in ("phrase", "n")]
         lists = [pa.ListArray.from_arrays(pa.array(cuts), b.chunk(0) if isinstance(b, pa.ChunkedArray) else b) for b in body]
-        batch = pa.RecordBatch.from_arrays([pa.array(langs[at // parts].tolist(), pa.string()), pa.array((at % parts).astype(np.int32)), *lists], ["lang", "part", "phrases", "counts"])
+        batch = pa.RecordBatch.from_arrays([pa.array([names[k] for k in (at // parts).tolist()], pa.string()), pa.array((at % parts).astype(np.int32)), *lists], ["lang", "part", "phrases", "counts"])
         for k in range(0, len(batch), 64):
             yield batch.slice(k, 64)
 
