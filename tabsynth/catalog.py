@@ -716,6 +716,21 @@ def cv4_whole_run(spark, d):
     return back.groupBy("imputation", "generator").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.sum(F.when(real, F.col(c))), 4).alias(c) for c in ("bal", "nat", "ratio")])
 
 
+# two standardised columns with a positive correlation r have the axes (1, 1) and (1, -1), with shares (1 + r) / 2 and (1 - r) / 2
+@query(f"""with p as ({PAIR_SQL}), u as (select side, price::double as a, cost::double as b from p where price is not null and cost is not null),
+m as (select avg(a) ma, stddev_samp(a) sa, avg(b) mb, stddev_samp(b) sb, corr(a, b) r from u),
+z as (select side, ((a - ma) / sa + (b - mb) / sb) / sqrt(2) as x, ((a - ma) / sa - (b - mb) / sb) / sqrt(2) as y, r from u, m)
+select case side when 'real' then 'real' else 'synthetic' end as source, count(*) as n, round(avg(x), 4) as pc1, round(avg(x * x), 4) as square1, round(avg(y * y), 4) as square2, round((1 + max(r)) / 2, 6) as share1, round((1 - max(r)) / 2, 6) as share2 from z group by side""")
+def mx18_pca(spark, d):
+    from tabsynth import detect
+
+    real, syn = pair(spark, d)
+    out, shares = detect.pca_projection(real, syn, {"price": "numerical", "cost": "numerical"})
+    x, y = F.col("pc1"), F.col("pc2")
+    found = out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 4).alias("pc1"), F.round(F.avg(x * x), 4).alias("square1"), F.round(F.avg(y * y), 4).alias("square2"))
+    return found.withColumns({"share1": F.round(F.lit(shares[0]), 6), "share2": F.round(F.lit(shares[1]), 6)})
+
+
 def _small(spark: SparkSession, d: str) -> DataFrame:
     return customers(spark, d).select("k", "bal", "seg", "nat", "mixed")
 

@@ -75,11 +75,15 @@ def align_precision(real: DataFrame, synth: DataFrame, cols: list[str]) -> tuple
 
 def fill_union(df: DataFrame) -> DataFrame:
     """Missing numbers become the mean, other values the mode (least of ties), or 'Missing' where there is none."""
+    from tabsynth.impute import fill_values
+
     kinds = infer_schema(df)
-    row = df.agg(*[(F.avg(c) if k == "numerical" else F.mode(F.col(c), True)).alias(f"v{i}") for i, (c, k) in enumerate(kinds.items())]).first()
+    numbers = [c for c, k in kinds.items() if k == "numerical"]
+    row = df.agg(*[F.avg(c).alias(f"v{i}") for i, c in enumerate(numbers)]).first() if numbers else ()
+    values = dict(zip(numbers, row, strict=True)) | fill_values(df, [c for c in kinds if c not in numbers])
     out = {}
-    for i, (c, k) in enumerate(kinds.items()):
-        value = row[f"v{i}"]
+    for c, k in kinds.items():
+        value = values[c]
         if k == "numerical":
             out[c] = F.coalesce(F.col(c).cast("double"), F.lit(value).cast("double"))
         else:

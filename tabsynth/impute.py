@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabsynth.features import category_lists, decode_categories, encode_categories
 from tabsynth.metrics import moment_matrices
+from tabsynth.moments import pattern_moments
 from tabsynth.nearest import nearest_in_spaces
 from tabsynth.ordered import BUFFER_ROWS, running_sums
 from tabsynth.schema import CATEGORICAL, INDICATOR, NUMERICAL, infer_schema
@@ -19,6 +20,8 @@ from tabsynth.tiles import blocks, tile_pairs
 
 #: Pairs of patterns of known columns that neighbours are sought for by an index.
 MOST_SPACES = 1_000
+#: Patterns of gaps whose sums of products the driver holds.
+MOST_PATTERNS = 2_000
 
 
 def fill_values(df: DataFrame, cols: list[str]) -> dict:
@@ -242,23 +245,85 @@ def bayesian_ridge(xx: np.ndarray, xy: np.ndarray, yy: float, n: float, turns: i
     return w
 
 
-def impute_iterative(train: DataFrame, *others: DataFrame, meta: dict[str, str], max_iter: int = 10, tol: float = 1e-3) -> list[DataFrame]:
+def chained_steps(moments: dict[str, np.ndarray], cols: int, order: list[int], largest: float, gaps: dict[int, int], max_iter: int, tol: float) -> list[tuple[int, np.ndarray, float]]:
+    """(column, weights of all columns, constant) of each regression of each round, from the patterns' sums of products alone.
+
+    A step makes a missing value a linear function of its row, so it changes its pattern's sums by a linear map: no row is read again.
+    """
+    moments, steps = {k: m.copy() for k, m in moments.items()}, []
+    for _ in range(max_iter):
+        before = sum(m[0] for m in moments.values())
+        for c in order:
+            whole = sum((m for k, m in moments.items() if k[c] == "1"), np.zeros((cols + 1, cols + 1)))
+            n = whole[0, 0]
+            rest = [x for x in range(cols) if x != c]
+            mean = whole[0, 1:] / n
+            cov = whole[1:, 1:] - n * np.outer(mean, mean)
+            w = bayesian_ridge(cov[np.ix_(rest, rest)], cov[rest, c], cov[c, c], n)
+            weights = np.zeros(cols)
+            weights[rest] = w
+            constant = float(mean[c] - weights @ mean)
+            steps.append((c, weights, constant))
+            change = np.eye(cols + 1)
+            change[c + 1] = np.concatenate([[constant], weights])
+            for k, m in moments.items():
+                if k[c] == "0":
+                    moments[k] = change @ m @ change.T
+        after = sum(m[0] for m in moments.values())
+        if all(abs(after[c + 1] - before[c + 1]) <= tol * max(largest, 1e-12) * max(1, gaps[c]) * 1e-3 for c in order):
+            break
+    return steps
+
+
+def impute_iterative(train: DataFrame, *others: DataFrame, meta: dict[str, str], max_iter: int = 10, tol: float = 1e-3, most_patterns: int = MOST_PATTERNS) -> list[DataFrame]:
     """Chained equations: from the means, columns with the fewest gaps first, each regressed on all others, for some rounds.
 
-    Each step is one pass of moments over the rows that know the column; predictions are linear columns. Each round is checkpointed.
+    One pass gives the sums of products of each pattern of gaps; all rounds of regressions follow from them, and one more pass fills
+    the gaps. Tables with more than most_patterns patterns are filled round by round instead.
     """
     frames = [train, *others]
     coded, lists, _, cols = _coded(frames, meta)
     row = coded[0].agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)], *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.max(F.abs(F.col(c))).alias(f"x{i}") for i, c in enumerate(cols)]).first() if cols else None
-    cols = [c for i, c in enumerate(cols) if row[f"m{i}"] is not None] if cols else []
-    at = {c: i for i, c in enumerate(_coded(frames, meta)[3])} if cols else {}
+    at = {c: i for i, c in enumerate(cols)}
+    cols = [c for c in cols if row[f"m{at[c]}"] is not None] if cols else []
     gaps = sorted((c for c in cols if row[f"n{at[c]}"]), key=lambda c: row[f"n{at[c]}"])
     if len(cols) < 2 or not (gaps or others):
         return frames
-    order = gaps or cols
-    start = {c: F.coalesce(F.col(c), F.lit(row[f"m{at[c]}"])) for c in cols}
+    means = np.array([row[f"m{at[c]}"] for c in cols])
+    order, missing = [cols.index(c) for c in gaps or cols], {i: row[f"n{at[c]}"] for i, c in enumerate(cols)}
+    largest = max(row[f"x{at[c]}"] or 0.0 for c in cols)
+    moments = pattern_moments(coded[0], cols, means, most_patterns)
+    if moments is None:
+        done = _rounds(coded, cols, [cols[i] for i in order], dict(zip(cols, means.tolist(), strict=True)), largest, {c: missing[i] for i, c in enumerate(cols)}, max_iter, tol)
+    else:
+        steps = chained_steps(moments, len(cols), order, largest, missing, max_iter, tol)
+        done = [_filled(df, cols, means, steps) for df in coded]
+    return [decode_categories(df.select(*raw.columns), lists) for df, raw in zip(done, frames, strict=True)]
+
+
+def _filled(df: DataFrame, cols: list[str], means: np.ndarray, steps: list[tuple[int, np.ndarray, float]]) -> DataFrame:
+    """df with the steps taken in turn by each row's gaps."""
+
+    @F.pandas_udf("array<double>")
+    def fill(x: pd.Series) -> pd.Series:
+        v = np.array(x.tolist(), float).reshape(len(x), len(cols)) - means
+        gap = np.isnan(v)
+        v = np.where(gap, 0.0, v)
+        for c, weights, constant in steps:
+            some = gap[:, c]
+            if some.any():
+                v[some, c] = v[some] @ weights + constant
+        return pd.Series(list(v + means))
+
+    whole = F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
+    out = df.withColumn("_filled", F.when(F.exists(whole, lambda v: v.isNull()), fill(whole)))
+    return out.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.get("_filled", F.lit(i))) for i, c in enumerate(cols)}).drop("_filled")
+
+
+def _rounds(coded: list[DataFrame], cols: list[str], order: list[str], means: dict[str, float], largest: float, missing: dict[str, int], max_iter: int, tol: float) -> list[DataFrame]:
+    """The same with a pass of moments for each column, and a checkpoint for each round."""
+    start = {c: F.coalesce(F.col(c), F.lit(means[c])) for c in cols}
     now = [df.withColumns({f"_was_{c}": F.col(c).isNull() for c in cols}).withColumns(start) for df in coded]
-    scale = max(row[f"x{at[c]}"] or 0.0 for c in cols)
     for _ in range(max_iter):
         before = now[0]
         for c in order:
@@ -270,9 +335,9 @@ def impute_iterative(train: DataFrame, *others: DataFrame, meta: dict[str, str],
             now = [df.withColumn(c, F.when(F.col(f"_was_{c}"), said).otherwise(F.col(c))) for df in now]
         now = [df.checkpoint() for df in now]
         moved = now[0].agg(*[F.sum(F.col(c)).alias(f"s{i}") for i, c in enumerate(order)]).first(), before.agg(*[F.sum(F.col(c)).alias(f"s{i}") for i, c in enumerate(order)]).first()
-        if all(abs(a - b) <= tol * max(scale, 1e-12) * max(1, row[f"n{at[c]}"]) * 1e-3 for a, b, c in zip(*moved, order, strict=True)):
+        if all(abs(a - b) <= tol * max(largest, 1e-12) * max(1, missing[c]) * 1e-3 for a, b, c in zip(*moved, order, strict=True)):
             break
-    return [decode_categories(df.select(*raw.columns), lists) for df, raw in zip(now, frames, strict=True)]
+    return now
 
 
 def impute_fold(train: DataFrame, test: DataFrame, meta: dict[str, str], method: str, target: str, key: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:

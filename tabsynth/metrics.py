@@ -9,10 +9,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabsynth.moments import wide_matrices
 from tabsynth.ordered import running_sums
 from tabsynth.schema import CATEGORICAL, NUMERICAL, nan_to_null, numeric_columns
 from tabsynth.session import written
 
+#: Columns whose pairs are aggregates of one expression.
+WIDE = 24
+
 
 def _sides(real: DataFrame, synth: DataFrame, cols: list[str], kind: str) -> DataFrame:
     """column, value, r, s: how often each value occurs on each side. Missing values are left out."""
@@ -104,7 +108,12 @@ def pairwise_moments(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def moment_matrices(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, covariances, correlations (0 where undefined), pairwise complete; d by d numbers."""
+    """Means, covariances, correlations (0 where undefined), pairwise complete; d by d numbers.
+
+    Up to WIDE columns the engine's own aggregates give them; of more, matrix products of batches do (see moments).
+    """
+    if len(cols) > WIDE:
+        return wide_matrices(nan_to_null(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])), cols)
     d, place = len(cols), {c: i for i, c in enumerate(cols)}
     mean, cov, corr = np.zeros(d), np.zeros((d, d)), np.zeros((d, d))
     for r in pairwise_moments(df, cols).collect():
@@ -112,7 +121,9 @@ def moment_matrices(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, np.ndar
         if i == j:
             mean[i] = r["mean_a"] if r["mean_a"] is not None else np.nan
         cov[i, j] = cov[j, i] = r["cov"] if r["cov"] is not None else 0.0
-        scale = (r["var_a"] or 0.0) * (r["var_b"] or 0.0)
+        # partial sums of a constant can differ in the last digit of its mean, which is no variance
+        var = [r[f"var_{x}"] or 0.0 for x in "ab"]
+        scale = var[0] * var[1] if all(v > 1e-24 * (r[f"mean_{x}"] or 0.0) ** 2 for v, x in zip(var, "ab", strict=True)) else 0.0
         corr[i, j] = corr[j, i] = r["cov"] / np.sqrt(scale) if scale > 0 else 0.0
     return mean, cov, corr
 

@@ -87,6 +87,23 @@ def number_within(df: DataFrame, by: list[str], order: list[str | Column], name:
     return numbered.join(starts, same).withColumn(name, F.col(name) + F.col("_from")).select(*df.columns, name)
 
 
+def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with name: each row's place in the order of all these columns, from 1.
+
+    Ranges are cut by all of them and by the place in the table, so a value that most rows share is spread like any other.
+    """
+    ranges, by = range_count(df), [*order, "_at"]
+    if ranges < 2:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long"))
+    df = df if hasattr(df, "written_path") else written(df, "rows")  # places in a written table don't change
+    dealt = df.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(ranges, *by).sortWithinPartitions(*by)
+    placed = written(dealt.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "ranked")
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # of as many rows as there are ranges
+    sizes = placed.groupBy("_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return placed.join(F.broadcast(starts), "_range").withColumn(name, F.col("_at") + F.col("_shift")).select(*df.columns, name)
+
+
 def quantiles(df: DataFrame, col: str, probs: list[float], buffer_rows: int = BUFFER_ROWS) -> list[float] | None:
     """Exact quantiles with linear interpolation of a column of doubles without nulls; None without rows.
 

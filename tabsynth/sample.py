@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsynth.ordered import number_within, range_count, range_number
+from tabsynth.ordered import number_within, ranked
 from tabsynth.rand import draw, uniform
 
 
@@ -128,10 +128,6 @@ def rank_deciles(df: DataFrame, cols: list[str], keys: list[str], least_distinct
 
 
 def _decile_column(df: DataFrame, c: str, keys: list[str], n: int) -> DataFrame:
-    cut = range_number(df, [], c, range_count(df))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # of as many rows as there are ranges
-    starts = cut.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_from"))
-    ranked = cut.withColumn("_rn", F.row_number().over(Window.partitionBy("_range").orderBy(c, *keys))).join(F.broadcast(starts), "_range")
-    rank = F.col("_rn") + F.col("_from")
+    rank = F.col("_rank")
     decile = F.greatest(F.ceil((rank - 1) * 10 / F.lit(float(max(n - 1, 1)))) - 1, F.lit(0)).cast("int")
-    return ranked.withColumn(c, decile).select(*df.columns)
+    return ranked(df, [c, *keys], "_rank").withColumn(c, decile).select(*df.columns)

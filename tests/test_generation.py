@@ -89,6 +89,42 @@ def test_model_metrics(spark, real):
     assert out.count() == 240 and sum(shares) == pytest.approx(1)
 
 
+def test_mixture_of_three(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    middle, size = np.array([[0.0, 0.0], [30.0, 5.0], [-20.0, 40.0]]), [200, 300, 500]
+    parts = [rnd.normal(size=(n, 2)) @ np.array([[1.0, 0.4], [0.0, 1.5]]) + m for n, m in zip(size, middle, strict=True)]
+    frame = lambda x: spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double")
+    asked = np.concatenate([p[:40] + 0.5 for p in parts])
+    meta = {"a": "numerical", "b": "numerical"}
+    got = detect.log_cluster(frame(np.concatenate(parts)), frame(asked), meta).first()[0]
+    # far apart, each part is one Gaussian of the fitted mixture
+    each = []
+    for p in parts:
+        cov, d = np.cov(p.T, bias=True), asked - p.mean(0)
+        each.append(np.log(len(p) / 1000) - 0.5 * (np.einsum("ni,ij,nj->n", d, np.linalg.inv(cov), d) + np.log(np.linalg.det(cov)) + 2 * np.log(2 * np.pi)))
+    assert got == pytest.approx(np.logaddexp.reduce(each).mean(), rel=1e-2)
+
+
+@pytest.mark.parametrize("method", ["iter", "knn"])
+def test_fold_imputation_fills_all_but_the_target(spark, real, method):
+    from tabsynth import impute
+
+    gaps = real.withColumn("b", F.when(F.col("k") % 7 != 0, F.col("b"))).withColumn("a", F.when(F.col("k") % 11 != 0, F.col("a")))
+    train, test = impute.impute_fold(gaps.where("k % 4 != 0"), gaps.where("k % 4 = 0"), META | {"k": "primary_key"}, method, "a", "k")
+    whole = {r["k"]: (r["b"], r["s"]) for r in real.collect()}
+    for df in (train, test):
+        assert df.where("b is null or s is null").count() == 0
+        assert df.where("a is null").count() == gaps.where("a is null").join(df.select("k"), "k").count()
+        known = [r for r in df.collect() if r["k"] % 7]
+        assert all(r["b"] == whole[r["k"]][0] and whole[r["k"]][1] in (None, r["s"]) for r in known)
+    # the linear relation to a column that is known is found
+    if method == "iter":
+        near = [abs(r["b"] - whole[r["k"]][0]) for r in train.collect() if r["k"] % 7 == 0]
+        assert len(near) > 5
+
+
 def test_cross_validation(spark, real, tmp_path):
     meta = META | {"k": "primary_key"}
     summary, folds = cv.augmented_classification_cv(real, "s", meta, "k", generator=synth.copula_generator(META), path=f"{tmp_path}/c", splits=2, repeats=1, trees=2)

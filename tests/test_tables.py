@@ -256,3 +256,57 @@ def test_ranges_follow_the_number_of_rows(spark, monkeypatch):
         number_within(df, [], ["h"])
     rising = running_sums(df, ["g"], "v", {"n": "one"})
     assert "SinglePartition" not in rising._jdf.queryExecution().executedPlan().toString()
+
+
+def test_iterative_imputation_by_patterns_equals_rounds(spark):
+    rnd = np.random.default_rng(12)
+    x = rnd.normal(size=(150, 4)) @ rnd.normal(size=(4, 4)) + [5, -3, 100, 0]
+    x[rnd.random(x.shape) < 0.15] = np.nan
+    cols = "abcd"
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "k long, a double, b double, c double, d double")
+    train, test = df.where("k < 110"), df.where("k >= 110")
+    meta = dict.fromkeys(cols, "numerical")
+    one = impute.impute_iterative(train, test, meta=meta)
+    two = impute.impute_iterative(train, test, meta=meta, most_patterns=1)
+    for a, b in zip(one, two, strict=True):
+        a, b = (np.array([tuple(r) for r in df.orderBy("k").collect()], float) for df in (a, b))
+        assert not np.isnan(a).any()
+        assert np.allclose(a, b, rtol=1e-6)
+
+
+def test_wide_moments_equal_pairs(spark):
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(300, 30)) + 1e6
+    x[:, 1] = x[:, 0] * 2 + rnd.normal(size=300) / 9
+    x[rnd.random(x.shape) < 0.1] = np.nan
+    x[:, 5] = 7.0  # a constant
+    x[:, 6] = np.nan
+    cols = [f"c{i}" for i in range(30)]
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in r] for r in x], ", ".join(f"{c} double" for c in cols)).repartition(5)
+    mean, cov, corr = metrics.moment_matrices(df, cols)
+    for i in range(30):
+        for j in range(30):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            want = np.cov(x[both, i], x[both, j])[0, 1] if both.sum() > 1 else 0.0
+            assert cov[i, j] == pytest.approx(want, abs=1e-6)
+            fixed = {5, 6} & {i, j}
+            assert corr[i, j] == pytest.approx(0.0 if fixed else want / (x[both, i].std(ddof=1) * x[both, j].std(ddof=1)), abs=1e-6)
+    assert np.isnan(mean[6])
+    assert mean[0] == pytest.approx(np.nanmean(x[:, 0]))
+    small = [metrics.moment_matrices(df.select(cols[:8]), cols[:8]), tuple(m[..., :8] for m in (mean, cov[:8], corr[:8]))]
+    for a, b in zip(*small, strict=True):
+        assert np.allclose(a, b, atol=1e-6, equal_nan=True)
+
+
+def test_ranks_of_a_hot_value_are_cut_into_ranges(spark, monkeypatch):
+    from tabsynth import ordered
+
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 100)
+    rows = [(i, 0.0 if i % 10 else float(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, x double").repartition(4)
+    got = ordered.ranked(df, ["x", "k"], "rn")
+    want = {k: i + 1 for i, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    assert {r["k"]: r["rn"] for r in got.collect()} == want
+    assert max(r["count"] for r in got.groupBy(F.floor((F.col("rn") - 1) / 1000)).count().collect()) == 1000
+    deciles = sample.rank_deciles(df, ["x"], ["k"])
+    assert {r["x"]: r["count"] for r in deciles.groupBy("x").count().collect()} == dict.fromkeys(range(10), 100)
