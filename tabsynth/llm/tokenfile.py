@@ -164,9 +164,8 @@ class _Known(dict):
         super().__init__()
         self.missed: list[str] = []
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: str) -> None:
         self.missed.append(key)
-        return b""
 
 
 class ByteIds:
@@ -244,17 +243,18 @@ class ByteIds:
         look = known.__getitem__
         for x in texts:
             before, keys = len(missed), self._keys(x) if x else []
-            out.append(b"".join(map(look, keys)))
+            found = list(map(look, keys))
             if len(missed) > before:
-                again.append((len(out) - 1, keys))
+                again.append((len(out), keys, found))
+                out.append(b"")
+            else:
+                out.append(b"".join(found))
         if missed:
             new = self._new(set(missed))
-            known.update(new)
-            for i, keys in again:
-                out[i] = b"".join(map(look, keys))
-            if len(known) > MAX_UNITS:  # the first ones stay: frequent ones come early
-                for k in new:
-                    del known[k]
+            for i, keys, found in again:
+                out[i] = b"".join([new[k] if x is None else x for k, x in zip(keys, found, strict=True)])
+            if len(known) < MAX_UNITS:  # the first ones are kept: frequent ones come early
+                known.update(new)
         return out
 
 
