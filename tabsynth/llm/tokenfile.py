@@ -11,6 +11,7 @@ binary source reads them, so any store that Spark reaches can hold them.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -238,6 +239,13 @@ class ByteIds:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
+        gc.disable()  # many tuples and lists come and go here, none of them in a cycle
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         known, out, again = self.known, [], []
         known.missed = missed = []
         look = known.__getitem__
@@ -288,8 +296,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array([segment(keys, [len(x) // 4 for x in parts], ids, file, number)], pa.binary())], ["value"])
 
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
                 for k, x in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist()), strict=True):
                     x += end
                     if keys and held + len(x) > 4 * segment_ids:
