@@ -41,6 +41,8 @@ TILE = 2048  # sets of one hub that a task compares with as many
 TALLY = 256  # hash cells that a set's shingles are counted in
 BUCKET_POSTINGS = 300_000
 GROUP_SHINGLES = 2_000_000
+SIEVE_BITS = 16  # of the sieve for each text that is wanted
+SIEVE_MOST = 1 << 27  # bits of a sieve: a fuller one lets more texts through, never fewer
 
 _rnd = np.random.default_rng(20240101)
 _BYTE = _rnd.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -218,7 +220,10 @@ def set_prefixes(docs: DataFrame, classes: np.ndarray, words: int, percent: int)
 
 
 def bucketed(sets: DataFrame, buckets: int) -> DataFrame:
-    """Postings of sets (cid, n, prefix, hubs), packed: a row for each batch of sets and bucket of hashes."""
+    """Postings of sets (cid, n, prefix, hubs), packed: a row for each batch of sets and bucket of hashes.
+
+    Within a bucket 32 bits of a hash are kept. Lists that these alone make one only add candidates, which whole texts settle.
+    """
     names = ["bucket", "hash", "set", "place", "cid", "n", "hubs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +242,7 @@ def bucketed(sets: DataFrame, buckets: int) -> DataFrame:
             for k in np.flatnonzero(cut[1:] > cut[:-1]):
                 mine = order[cut[k] : cut[k + 1]]
                 used, local = np.unique(at[mine], return_inverse=True)
-                out.append((int(k), h[mine].tobytes(), local.astype(np.uint32).tobytes(), place[mine].astype(np.uint32).tobytes(), cid[used].tobytes(), n[used].tobytes(), hubs[used].tobytes() if (hubs[used] >= 0).any() else b""))
+                out.append((int(k), h[mine].astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), place[mine].astype(np.uint32).tobytes(), cid[used].tobytes(), n[used].tobytes(), hubs[used].tobytes() if (hubs[used] >= 0).any() else b""))
             cols = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names)
 
@@ -275,7 +280,7 @@ def block_pairs(n: np.ndarray, place: np.ndarray, percent: int) -> Iterator[tupl
 
 def list_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Pairs a, b of one bucket's lists that share no hub and could link."""
-    h = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["hash"]])
+    h = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["hash"]])
     at = np.concatenate([[0], np.cumsum([len(x) // 8 for x in rows["cid"]])])
     who = np.concatenate([np.frombuffer(s, np.uint32).astype(np.int64) + i for s, i in zip(rows["set"], at, strict=False)])
     ids, sizes = (np.concatenate([np.frombuffer(x, np.int64) for x in rows[c]]) for c in ("cid", "n"))
@@ -315,24 +320,38 @@ def list_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def sieved(docs: DataFrame, wanted: DataFrame, number: int) -> DataFrame:
+    """Rows of docs whose k wanted has, and a few others by chance, without a shuffle of docs. k: hashes; number: of wanted, about."""
+    bits = 1 << min(SIEVE_MOST.bit_length() - 1, max(16, (number * SIEVE_BITS).bit_length()))
+    cell = F.pmod("k", F.lit(bits)) + 1
+    number_, place = F.bitmap_bucket_number(cell), F.bitmap_bit_position(cell)
+    maps = wanted.select(number_.alias("_map"), place.alias("_place")).groupBy("_map").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    hit = F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1
+    return docs.withColumn("_map", number_).join(F.broadcast(maps), "_map").where(hit).select(*docs.columns)
+
+
+def dealt(pairs: DataFrame) -> DataFrame:
+    """g0, a, b of the pairs a, b: those of a set with many partners have several g0."""
+    counts = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / 100).cast("int").alias("parts"))
+    return pairs.join(counts, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), "parts")).alias("g0"), "a", "b")
+
+
 def compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b, common, total (shingles), linked of each pair, from whole texts; and of pairs that are COVER percent similar, what b lacks of a
-    (gone) and has beyond it (extra). pairs: a, b; classes: cid, k, n; docs: k, text.
+    (gone) and has beyond it (extra). pairs: g0, a, b (dealt); classes: cid, k, n; docs: k, text.
 
     A group gets the texts that its pairs name, each once, and holds some GROUP_SHINGLES shingles; a set with many
-    partners is dealt to several groups, so none is fuller than others.
+    partners is dealt to several groups, so none is fuller than others. Texts that no pair names are left out before the rest is shuffled.
     """
     spark = pairs.sparkSession
-    counts = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / 100).cast("int").alias("parts"))
-    dealt = pairs.join(counts, "a").withColumn("g0", F.xxhash64("a", F.pmod(F.xxhash64("b"), "parts")))
-    sized = dealt.select("g0", "a", "b")
-    need_ = sized.select("g0", F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "k", "n"), "cid")
-    total = need_.agg(F.sum("n")).first()[0] or 0
+    need_ = pairs.select("g0", F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "k", "n"), "cid")
+    total, number = need_.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     groups = max(shuffle_partitions(spark), math.ceil(total / GROUP_SHINGLES))
     g = F.pmod(F.xxhash64("g0"), F.lit(groups)).cast("int").alias("g")
     wanted = need_.select(g, "cid", "k").distinct()
-    texts = docs.select("k", "text").join(wanted, "k").select("g", "cid", F.lit(None).cast("long").alias("b"), "text")
-    rows = texts.unionByName(sized.select(g, F.col("a").alias("cid"), "b", F.lit(None).cast("string").alias("text")))
+    texts = sieved(docs.select("k", "text"), need_, number).join(wanted, "k").select("g", "cid", F.lit(None).cast("long").alias("b"), "text")
+    rows = texts.unionByName(pairs.select(g, F.col("a").alias("cid"), "b", F.lit(None).cast("string").alias("text")))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -463,21 +482,23 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     reps = sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("k", "rare", "least", "tally")).alias("r"))
     classes = written(reps.select("d1", "d2", "n", "r.*", F.monotonically_increasing_id().alias("cid")), "classes")
     rows = written(sets.select("k", "doc_id", "n", "d1", "d2").join(classes.select("d1", "d2", "n", "cid"), ["d1", "d2", "n"], "left").select("k", "doc_id", "n", "cid"), "rows")
-    answers = written(compare(hub_pairs(classes), classes, keyed, words, percent), "answers")
+    near = written(dealt(hub_pairs(classes)), "near")
+    answers = written(compare(near, classes, keyed, words, percent), "answers")
     derived = written(derived_links(answers, classes, percent), "derived")
     covered = answers.where("gone is not null").select("a", "b")
     hubs = covered.select(F.col("b").alias("cid"), F.col("a").alias("hub")).union(covered.select("a", "a")).groupBy("cid").agg(F.collect_set("hub").alias("hubs"))
-    own = sets.select("k", "prefix").join(classes.select("k", "cid", "n"), "k").dropDuplicates(["cid"]).join(hubs, "cid", "left")
+    # prefixes are shuffled by k alone: that serves the join and the repeated rows
+    own = sets.select("k", "prefix").join(classes.select("k", "cid", "n").join(hubs, "cid", "left"), "k").dropDuplicates(["k", "cid"])
     postings = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     buckets = max(shuffle_partitions(spark), math.ceil(postings / BUCKET_POSTINGS))
     found = bucketed(own, buckets).groupBy("bucket").applyInPandas(lambda r: list_pairs(r, percent), "a long, b long")
     lists = written(found.distinct(), "lists")
     forget(sets)
-    pairs = written(possible(lists, classes, percent), "pairs")
+    pairs = written(dealt(possible(lists, classes, percent)), "pairs")
     rest = written(compare(pairs, classes, keyed, words, percent).where("linked").select("a", "b"), "rest")
     links = answers.where("linked").select("a", "b").union(derived).union(rest)
     parts = written(connected_components(links), "parts")
-    forget(classes, answers, derived, lists, pairs, rest)
+    forget(classes, near, answers, derived, lists, pairs, rest)
     return rows, parts
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tabsynth.llm import jaccard as jc
 
@@ -101,3 +102,19 @@ def test_columns_of_any_name(spark):
     names = ["k", "_k", "cid", "n", "row", "component", "f", "hub"]
     docs = spark.createDataFrame([(i, "a b c d e f", *range(8)) for i in range(3)], ", ".join(["doc_id long", "text string", *(f"`{n}` int" for n in names)]))
     assert [tuple(r) for r in jc.keep_one_of_each(docs).collect()] == [(0, "a b c d e f", *range(8))]
+
+
+def test_texts_that_no_pair_names_are_not_shuffled(spark):
+    docs = spark.range(20_000).select(F.xxhash64("id").alias("k"), F.col("id").cast("string").alias("text"))
+    wanted = docs.where("text % 100 = 7").select("k")
+    got = jc.sieved(docs, wanted, 200)
+    assert got.columns == ["k", "text"] and got.join(wanted, "k", "left_semi").count() == 200
+    assert got.count() < 1000 and jc.sieved(docs, wanted.limit(0), 0).count() == 0
+    assert "hashpartitioning(k" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_of_a_bucket_hold_half_hashes(spark):
+    h = np.array([5 + (1 << 40), 6 + (1 << 40)], np.uint64)
+    sets = spark.createDataFrame([(1, 2, bytearray(h.tobytes()), None), (2, 2, bytearray(h.tobytes()), None)], "cid long, n long, prefix binary, hubs array<long>")
+    rows = jc.bucketed(sets.coalesce(1), 1).toPandas()
+    assert [len(x) for x in rows["hash"]] == [16] and jc.list_pairs(rows, 80).values.tolist() == [[1, 2]]
