@@ -28,7 +28,9 @@ def _resample(df: DataFrame, group: str, keys: list[str], seed: int) -> DataFram
     blocks = counts.select(group, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((most - 1) // 10_000).cast("long"))).alias("_b"))
     draws = blocks.select(group, "_n", F.explode(F.sequence(F.col("_b") * 10_000 + 1, F.least(F.lit(most), (F.col("_b") + 1) * 10_000))).alias("draw"))
     picks = draws.withColumn("_rn", 1 + F.floor(uniform(seed, [F.col(group)], F.col("draw")) * F.col("_n")))
-    return rows.join(picks.select(F.col(group).alias("_g"), "draw", "_rn"), [rows[group].eqNullSafe(F.col("_g")), rows["_rn"] == picks["_rn"]]).select(*df.columns, "draw")
+    # the draws come from a few counts, so their size is taken for that of these: without the hint all of them would be broadcast
+    picks = picks.select(F.col(group).alias("_g"), "draw", "_rn").hint("merge")
+    return rows.join(picks, [rows[group].eqNullSafe(F.col("_g")), rows["_rn"] == picks["_rn"]]).select(*df.columns, "draw")
 
 
 def oversample(df: DataFrame, target: str, keys: list[str], seed: int = 42, shuffle_rows: bool = False) -> DataFrame:
