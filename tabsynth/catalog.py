@@ -224,7 +224,7 @@ def fi7_covariance_outliers(spark, d):
 @query("""with r as (select l_suppkey, avg(l_discount) violation_rate, avg(l_quantity) corr_score from lineitem group by 1)
 select l_suppkey, violation_rate <= 0.05 and corr_score >= 25 as passed, case when violation_rate > 0.05 then 1 else 0 end + case when corr_score < 25 then 1 else 0 end as n from r""")
 def fi9_threshold_gate(spark, d):
-    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("violation_rate"), F.avg("l_quantity").alias("corr_score"))
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(metrics.exact_mean("l_discount").alias("violation_rate"), metrics.exact_mean("l_quantity").alias("corr_score"))
     return gate.threshold_gate(rows, {"violation_rate": 0.05, "corr_score": 25.0}).select("l_suppkey", "passed", F.size("failures").alias("n"))
 
 

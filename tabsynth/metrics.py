@@ -18,6 +18,16 @@ from tabsynth.session import written
 WIDE = 24
 
 
+def exact_mean(col: str) -> Column:
+    """The mean of a column as decimals of 16 places, so that it doesn't depend on the order of adding: a mean that lies on a limit stays there.
+
+    Groups with values that have no such decimal (NaN, infinite, 1e12 and beyond) get the mean of doubles.
+    """
+    number = F.col(col)
+    exact = number.try_cast("decimal(28,16)")
+    return F.when(F.count(exact) == F.count(number), F.avg(exact).cast("double")).otherwise(F.avg(number.cast("double")))
+
+
 def _sides(real: DataFrame, synth: DataFrame, cols: list[str], kind: str) -> DataFrame:
     """column, value, r, s: how often each value occurs on each side. Missing values are left out."""
     both = None
